@@ -84,26 +84,52 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
-def match_parts(text: Column, found: Column, pattern: str) -> Column:
-    """What offsets are summed from: per match the length of the gap before it and its body.
+#: Code points of text on either side that a match carries along.
+CONTEXT = 16
+
+
+def _parts(piece: Column, found: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.when(piece.isNotNull(), F.size(found) - 1)),
+        lambda i: F.struct(
+            F.length(F.get(piece, i)).alias("gap"),
+            F.get(found, i).alias("body"),
+            F.right(F.get(piece, i), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(piece, i + 1), F.lit(CONTEXT)).alias("after"),
+        ),
+    )
+
+
+def with_parts(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """Adds, for each kind, what the places of its matches are summed from.
 
     Spark has no function for match offsets. The pieces between the matches are
     split off with the same pattern; a running sum over pieces and matches gives
-    the places (see ``places``). Null where nothing matched, so that the second
-    pass over the text is made only where it is needed. The pattern must not
-    match the empty string.
+    the places (see ``places``). A column is null where nothing matched, so the
+    second pass over a text is made only where it is needed. No pattern may match
+    the empty string.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    return F.when(F.size(found) > 0, F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("body")))
+    df = df.withColumns({f"found_{k}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for k, p in patterns.items()})
+    df = df.withColumns({f"pieces_{k}": F.when(F.size(f"found_{k}") > 0, F.split(F.col(text), p, -1)) for k, p in patterns.items()})
+    parts = {f"parts_{k}": _parts(F.col(f"pieces_{k}"), F.col(f"found_{k}")) for k in patterns}
+    return df.withColumns(parts).drop(*[f"{x}_{k}" for k in patterns for x in ("found", "pieces")])
 
 
-def places(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """A row for each match with ``start``, ``end`` (code points, end exclusive) and ``body``.
+def places(parts: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
+    """A row for each match: the keys, ``kind``, ``start``, ``end`` (code points, end exclusive), ``body``, ``before``, ``after``.
 
-    The running sum is a window over the matches of one text and kind, so its
+    The running sum is a window over the matches of one kind in one text, so its
     groups are bounded by a text and the work is linear but for a sort.
     """
-    each = parts.select(*keys, F.posexplode(column).alias("nth", "part")).select(*keys, "nth", "part.gap", "part.body")
-    order = W.partitionBy(*keys).orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("body")).over(order)
-    return each.withColumn("end", end).withColumn("start", F.col("end") - F.length("body")).drop("nth", "gap")
+    lists = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"parts_{k}").alias("parts")) for k in kinds]), lambda x: x["parts"].isNotNull())
+    each = parts.select(*keys, F.explode(lists).alias("x")).select(*keys, "x.kind", F.posexplode("x.parts").alias("nth", "part"))
+    order = W.partitionBy(*keys, "kind").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    body = F.col("part.body")
+    end = F.sum(F.col("part.gap") + F.length(body)).over(order)
+    each = each.withColumn("end", end)
+    return each.select(*keys, "kind", (F.col("end") - F.length(body)).alias("start"), "end", "part.body", "part.before", "part.after")
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of an array of structs, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
