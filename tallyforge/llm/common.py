@@ -64,6 +64,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: A table of at most so many rows is broadcast where its rows are narrow.
+SMALL_ROWS = 10_000
+
+
+def few(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The narrow table for a broadcast where a count shows it to be small, else as it is for a join by key."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Null stays null.
 
@@ -115,6 +124,11 @@ def with_parts(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return df.withColumns(parts).drop(*[f"{x}_{k}" for k in patterns for x in ("found", "pieces")])
 
 
+def word_count(text: Column) -> Column:
+    """The number of runs of characters that are no white space; 0 for a null."""
+    return F.size(words(text)).cast("long")
+
+
 def places(parts: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
     """A row for each match: the keys, ``kind``, ``start``, ``end`` (code points, end exclusive), ``body``, ``before``, ``after``.
 

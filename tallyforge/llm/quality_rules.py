@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, staged, words
+from tallyforge.llm.common import SPACE, few, staged, words
 
 #: Character classes, taken off the text in turn; what is left over is the last class.
 CLASSES = (
@@ -45,8 +45,6 @@ WORD_LIMIT = 0.25
 GUARD_WORDS = 50
 GUARD_WORDS_COMMON = 200
 GUARD_DOCS = 20
-#: A table of references of up to so many rows is broadcast.
-SMALL_ROWS = 10_000
 
 
 def _dup_lines(text: Column) -> Column:
@@ -117,11 +115,6 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast where a count shows the table to be small."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def verdicts(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, the distances, base_failed and kept.
 
@@ -143,7 +136,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     long = sound & (F.col("n_words") >= GUARD_WORDS_COMMON)
     refs = rows.filter(sound).groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), means("chars", n, sound).alias("ref_chars"), means("common", m, long).alias("ref_common"))
     refs = staged(refs.filter(F.col("lang").isNotNull() & (F.col("n_docs") >= GUARD_DOCS)), "quality-refs")
-    out = rows.join(_few(refs), "lang", "left")
+    out = rows.join(few(refs), "lang", "left")
     out = out.withColumn("class_distance", F.when(F.col("n_words") >= GUARD_WORDS, js_distance(F.col("chars"), F.col("ref_chars"))))
     out = out.withColumn("word_distance", F.when(F.col("n_words") >= GUARD_WORDS_COMMON, js_distance(F.col("common"), F.col("ref_common"))))
     odd = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > limit, F.lit(False)) for c, limit in (("class_distance", CLASS_LIMIT), ("word_distance", WORD_LIMIT))])
