@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality_rules, secrets
+from tallyforge.llm import bpe, exact_dedup, html_text, licenses, mixing, near_dedup, pii, quality_rules, secrets
 from tallyforge.llm.common import read
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -51,6 +55,7 @@ SQL = {
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_html_text": op2_html_text,
     "op3_bpe": op3_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op5_personal_data": op5_personal_data,
