@@ -16,7 +16,7 @@ FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 def silver(raw: DataFrame) -> DataFrame:
     """Typed transactions with their history."""
-    typed = raw.withColumn("transaction_timestamp", F.to_timestamp("transaction_date", F.lit(FORMAT))).withColumn("transaction_date", F.to_date("transaction_date", FORMAT)).drop("id")
+    typed = raw.withColumn("transaction_timestamp", F.to_timestamp("transaction_date", FORMAT)).withColumn("transaction_date", F.to_date("transaction_date", FORMAT)).drop("id")
     rows = scd2(typed, "transaction_id", "ingestion_timestamp", "natural_key_hash", ties=("transaction_timestamp",))
     return rows.select(
         surrogate_key("transaction_id", "natural_key_hash").alias("transaction_sk"), "transaction_id", "account_id", "transaction_timestamp", "transaction_date", "amount", "currency",
