@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import staged
+from tallyforge.llm.common import most_common, staged
 
 #: Words and pairs that are broadcast, the most common ones.
 FREQUENT = 1 << 18
@@ -242,14 +242,14 @@ class Model:
             n_of[n_docs] += 1  # the end of a text is a word too
         self.total, self.kinds = (got.total or 0) + n_docs, got.kinds + (n_docs > 0)
         self.single = Single(self.total, n_of)
-        top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+        high, low = most_common(words, "n", FREQUENT)
+        top = high.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
         self.words = Words(top.column("word").combine_chunks(), top.column("n").to_numpy())
         self.shared_words = spark.sparkContext.broadcast(self.words)
         self.counts = np.zeros(START + 1)
         self.counts[1 : 1 + len(self.words.counts)] = self.words.counts
         self.counts[[END, START]] = n_docs
-        least = int(self.words.counts[-1]) if top.num_rows == FREQUENT else 0
-        self.rare = staged(words.filter(F.col("n") <= least).mapInArrow(_rare_rows(self.shared_words), "id long, n long"), "lm-rare")
+        self.rare = staged(low.mapInArrow(_rare_rows(self.shared_words), "id long, n long"), "lm-rare")
         self._pairs(train)
 
     def _pairs(self, train: DataFrame) -> None:
@@ -293,7 +293,7 @@ class Model:
 
     def tables(self) -> dict:
         """What every task gets: arrays by common id, the most common pairs' gains by key, and the filter of pairs."""
-        top = self.gains.orderBy(F.desc("n"), "a", "b").limit(FREQUENT_PAIRS).select("a", "b", "gain").toArrow()
+        top = most_common(self.gains, "n", FREQUENT_PAIRS)[0].select("a", "b", "gain").toArrow()
         a, b, gain = (top.column(c).to_numpy() for c in ("a", "b", "gain"))
         keys = pair_key(np.ascontiguousarray(a), np.ascontiguousarray(b))
         order = np.argsort(keys)
