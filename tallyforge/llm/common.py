@@ -74,6 +74,13 @@ def few(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def without(docs: DataFrame, judged: DataFrame, most: int = 400_000) -> DataFrame:
+    """The rows of ``docs`` but those whose doc_id no row of ``judged`` keeps. A null doc_id is an id like any other."""
+    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("__id"))
+    gone = few(staged(gone, "gone"), most)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+
+
 def most_common(df: DataFrame, count: str, most: int) -> tuple[DataFrame, DataFrame]:
     """The rows with the highest counts, at most ``most`` of them, and all others.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import staged
+from tallyforge.llm.common import staged, without
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 747_796_405)
@@ -208,5 +208,4 @@ def exact_groups(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_groups(docs, huge).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    return without(docs, exact_groups(docs, huge))
