@@ -7,11 +7,11 @@ bucket borrows from another by a fixed order. Registers are cut into bands, and
 classes that agree in a band are candidates.
 
 Candidates are never expanded into all pairs of a band's group. Members are first
-compared with one leader each. Groups whose members all end in one component are
-done. In the others, small groups compare members of different components, and
-large ones are split by a second band (then a third, and so on), which two
-classes of the wanted similarity share almost surely while others part. So the
-pairs that are compared grow with the members, not with their square.
+compared with the leader they share most bands with. Groups whose members all end
+in one component are done, which settles most of even large ones. In the others,
+the members outside the group's largest component are compared with the rest in
+blocks, registers against registers. The nearest member of each other component
+is confirmed first; what is still open after that is confirmed in full.
 
 A pair is compared in two steps: the Jaccard similarity is estimated from the
 registers, corrected for registers that agree by chance, and what comes near the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import few, staged
+from tallyforge.llm.common import few, staged, without
 from tallyforge.llm.components import components
 
 WORDS = 5
@@ -38,13 +38,13 @@ ROWS = 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: An estimate is let through from so many standard deviations below the limit on.
-DEVIATIONS = 6
-#: Groups of at most so many members compare all members of different components.
-SMALL_GROUP = 24
+DEVIATIONS = 5
+#: Members of a group that are compared in one block.
+BLOCK = 128
 #: Members compared with one copy of a leader's set.
 SHARE = 256
-#: Rounds of splitting a large group by a further band before it compares the rest in full.
-DEPTH = 4
+#: Tables of at most so many narrow rows are broadcast, larger ones joined by a shuffle.
+NARROW, WIDE = 400_000, 100_000
 PIECE = 4 << 20
 
 _MASK = (1 << 64) - 1
@@ -180,10 +180,14 @@ def _bands(sketch: Sketcher):
     return run
 
 
+def least_estimate(percent: int) -> float:
+    s = percent / 100
+    return s - DEVIATIONS * (s * (1 - s) / REGISTERS) ** 0.5
+
+
 def _near(percent: int):
     """Pairs whose estimate comes near the limit."""
-    s = percent / 100
-    least = s - DEVIATIONS * (s * (1 - s) / REGISTERS) ** 0.5
+    least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +202,65 @@ def _near(percent: int):
     return run
 
 
+def _in_blocks(percent: int, nearest: bool):
+    """From rows sorted by block and side: near pairs of different components.
+
+    Side 0 holds at most about BLOCK members, which are kept; the others stream by.
+    With ``nearest`` each kept member gives only its nearest one in each component.
+    """
+    least = least_estimate(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, best, found, held = None, [], {}, [], 0
+        # The chance for two sets of about n elements; sizes of candidates differ by a third at most.
+        by_size = {k: chance(1 << k, 1 << k) for k in range(64)}
+
+        def out():
+            rows = list(found)
+            for est, x in best.values():
+                hit = est >= 0
+                rows.append((ids[hit], x[hit], est[hit]))
+            best.clear()
+            found.clear()
+            cols = [np.concatenate([r[k] for r in rows]) for k in range(3)]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "est"])
+
+        for batch in batches:
+            for key, i, j, side, x, comp, n, regs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (key, i, j):
+                    if best or found:
+                        yield out()
+                    at, kept, table, held = (key, i, j), [], None, 0
+                r = np.frombuffer(regs, np.uint16)
+                if side == 0:
+                    kept.append((x, comp, n, r))
+                    continue
+                if not kept:
+                    continue
+                if table is None:
+                    table = np.stack([k[3] for k in kept])
+                    ids, comps, sizes = (np.array([k[c] for k in kept], dtype=np.int64) for c in range(3))
+                c = by_size[n.bit_length()]
+                est = ((table == r).sum(axis=1) / REGISTERS - c) / (1 - c)
+                good = (est >= least) & (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                if not good.any():
+                    continue
+                if nearest:
+                    top, who = best.setdefault(comp, (np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)))
+                    better = good & (est > top)
+                    top[better], who[better] = est[better], x
+                else:
+                    found.append((ids[good], np.full(int(good.sum()), x), est[good]))
+                    held += int(good.sum())
+                    if held > 200_000:
+                        yield out()
+                        held = 0
+        if best or found:
+            yield out()
+
+    return run
+
+
 def _sets(sketch: Sketcher):
     """Rows (doc text, leader, share, kind) to rows with the sorted hashes in place of the text."""
 
@@ -256,74 +319,89 @@ class _Search:
         self.percent, self.sketch = percent, Sketcher()
         self.raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
         self.signed = staged(self.raw.mapInArrow(_sign(self.sketch), "doc_id long, n long, digest binary, regs binary"), "near-registers")
-        self.classes = staged(self.signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-        reps = self.classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), "digest")
-        self.reps = self.signed.join(reps, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n", "regs")
-
-    def groups(self, rows: DataFrame) -> DataFrame:
-        """Of rows (key, id): those of keys with two ids or more, with leader, size and mark (alike for equal groups)."""
-        sums = rows.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"))
-        return staged(rows.join(sums.filter("size > 1"), "key"), "near-groups")
+        self.classes = staged(self.signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "near-classes")
+        # Most classes have one row; only the others' rows are looked for by a join.
+        again = self.classes.filter("rows > 1").select("digest", "rep")
+        marked = self.signed.select("doc_id", "n", "digest", "regs").join(few(again, NARROW), "digest", "left")
+        alone = marked.filter("n > 0 and doc_id is not null and rep is null")
+        first = marked.filter("rep = doc_id").dropDuplicates(["doc_id", "digest"])
+        self.reps = staged(alone.unionByName(first).select(F.col("doc_id").alias("id"), "n", "regs"), "near-reps")
+
+    def groups(self) -> DataFrame:
+        """Rows (key, id, leader) of the bands' keys that two classes or more have."""
+        rows = self.reps.select("id", "regs").mapInArrow(_bands(self.sketch), "key long, id long")
+        sums = staged(rows.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-keys")
+        return staged(rows.join(few(sums.select("key", "leader"), NARROW), "key"), "near-groups")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that hold, first by estimate and then on full sets."""
-        one = self.reps.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("regs").alias("r1"))
-        two = self.reps.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("r2"))
-        pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2")
-        pairs = staged(pairs.mapInArrow(_near(self.percent), "a long, b long").distinct(), "near-pairs")
-        counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
-        of = pairs.join(counts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"))
+        """The pairs (a, b) that hold on full sets."""
+        counts = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")), "near-shares")
+        of = pairs.join(few(counts, NARROW), "a").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"))
         heads = counts.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"))
         asked = staged(heads.unionByName(of), "near-asked")
-        sets = self.raw.join(few(asked), "doc_id").select("doc_id", "raw", "leader", "share", "kind").mapInArrow(_sets(self.sketch), "a long, share int, kind int, b long, hashes binary")
+        sets = self.raw.join(few(asked, NARROW), "doc_id").select("doc_id", "raw", "leader", "share", "kind").mapInArrow(_sets(self.sketch), "a long, share int, kind int, b long, hashes binary")
         return staged(sets.repartition("a", "share").sortWithinPartitions("a", "share", "kind").mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "near-links")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links that join each component, and the components of all classes that have one."""
-        bands = self.reps.select("id", "regs").mapInArrow(_bands(self.sketch), "key long, id long")
-        found = self.groups(bands)
-        # First each member with the leader that it shares most bands with.
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose estimate comes near the limit."""
+        one = self.reps.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("regs").alias("r1"))
+        two = self.reps.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("r2"))
+        half = staged(one.join(few(pairs, NARROW), "a"), "near-half")
+        whole = two.join(few(half, WIDE), "b").select("a", "b", "n1", "n2", "r1", "r2")
+        return staged(whole.mapInArrow(_near(self.percent), "a long, b long").distinct(), "near-pairs")
+
+    def links(self) -> DataFrame:
+        """(id, comp) of all classes that are linked with another."""
+        found = self.groups()
         by_leader = found.filter("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
         best = by_leader.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("m"))).alias("x"))
-        asked = staged(best.select((-F.col("x.m")).alias("a"), F.col("id").alias("b")), "near-best")
-        links = self.confirm(asked)
+        tried = self.estimated(staged(best.select((-F.col("x.m")).alias("a"), F.col("id").alias("b")), "near-best"))
+        links = self.confirm(tried)
         comps = staged(components(links), "near-components")
-        rows = found.select("key", "id", "size", "leader", "mark")
-        depth = 0
-        while True:
-            open_rows = self._open(rows, comps)
+        for nearest in (True, False):
+            open_rows = self._open(found, comps)
             if open_rows.isEmpty():
-                return links, comps
-            pairs, rows = self._rest(open_rows, found, depth)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = staged(pairs.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-rest")
-            asked = staged(asked.unionByName(pairs), "near-asked-all")
-            if not pairs.isEmpty():
-                links = staged(links.unionByName(self.confirm(pairs)), "near-links-all")
-                comps = staged(components(links), "near-components")
-            depth += 1
-            if rows is None:
-                return links, comps
-
-    def _open(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows of groups that hold more than one component, one group of those with equal members."""
-        now = rows.filter("size > 1").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("mark").alias("mark"))
-        keys = keys.filter("low != high").groupBy("mark").agg(F.min("key").alias("key")).select("key")
-        return staged(now.join(keys, "key", "left_semi"), "near-open")
-
-    def _rest(self, rows: DataFrame, found: DataFrame, depth: int) -> tuple[DataFrame, DataFrame | None]:
-        """Pairs to compare now, and the split groups that are left for later (None if there are none)."""
-        small = rows if depth >= DEPTH else rows.filter(F.col("size") <= SMALL_GROUP)
-        one, two = (small.select("key", F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-        pairs = one.join(two, "key").filter("a < b and ca != cb").select("a", "b")
-        large = rows.filter(F.col("size") > SMALL_GROUP)
-        if depth >= DEPTH or large.isEmpty():
-            return pairs, None
-        leaders = large.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        other = found.select("id", F.col("key").alias("key2"))
-        split = large.select("key", "id").join(other, "id").filter("key != key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id").distinct()
-        return pairs.unionByName(leaders), self.groups(split)
+                break
+            known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = self._across(open_rows, nearest).join(few(known, NARROW), ["a", "b"], "left_anti")
+            pairs = staged(pairs, "near-rest")
+            if pairs.isEmpty():
+                continue
+            tried = staged(known.unionByName(pairs), "near-tried")
+            links = staged(links.unionByName(self.confirm(pairs)), "near-links-all")
+            comps = staged(components(links), "near-components")
+        return comps
+
+    def _open(self, found: DataFrame, comps: DataFrame) -> DataFrame:
+        """Rows (key, id, comp) of groups that hold more than one component; of groups with equal members one."""
+        now = staged(found.select("key", "id").join(few(comps, NARROW), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-now")
+        keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"))
+        keys = staged(keys.filter("low != high").groupBy("mark").agg(F.min("key").alias("key")).select("key"), "near-open-keys")
+        return staged(now.join(few(keys, NARROW), "key", "left_semi"), "near-open")
+
+    def _across(self, rows: DataFrame, nearest: bool) -> DataFrame:
+        """Near pairs of different components in one group, by comparing registers in blocks.
+
+        Of the two members one is always outside the group's largest component.
+        These meet all members in blocks; a block's two sides are bounded, and the
+        rows sent grow with the members times the blocks of the outer ones.
+        """
+        parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.sum("n").alias("size"), F.max("n").alias("top"))
+        keys = staged(keys.select("key", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int").alias("outer")), "near-blocks")
+        all_rows = rows.join(few(keys, NARROW), "key")
+        deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outer = all_rows.filter("comp != largest").select("key", "id", "comp", deal("outer").alias("i"), copies("blocks").alias("j"), F.lit(0).alias("side"))
+        every = all_rows.select("key", "id", "comp", deal("blocks").alias("j"), copies("outer").alias("i"), F.lit(1).alias("side"))
+        dealt = staged(outer.unionByName(every), "near-dealt")
+        with_regs = self.reps.join(few(dealt, NARROW), "id").select("key", "i", "j", "side", "id", "comp", "n", "regs")
+        pairs = with_regs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_in_blocks(self.percent, nearest), "a long, b long, est double")
+        pairs = staged(pairs, "near-across")
+        if nearest:  # over all groups and blocks: the nearest in each other component
+            comp = rows.select(F.col("id").alias("b"), F.col("comp").alias("cb")).distinct()
+            pairs = pairs.join(few(comp, NARROW), "b").groupBy("a", "cb").agg(F.max(F.struct("est", "b"))["b"].alias("b"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -340,7 +418,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id and text are read.
     """
     s = _Search(docs, percent)
-    _, comps = s.links()
+    comps = s.links()
     named = s.classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component"))
     out = s.signed.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
@@ -349,5 +427,4 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    gone = near_groups(docs, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    return without(docs, near_groups(docs, percent))
