@@ -216,7 +216,7 @@ def test_mixing(docs):
         assert all(math.isclose(r.target, target) and r.source_size == size[s] and 0 <= r.times <= 2 and r.taken == r.times * r.size for r in rows)
         assert abs(sum(r.taken for r in rows) - target) <= 0.02 * target + 3
     assert {r.doc_id: r.size for r in got} == {d: len(plain.low(t).encode().split()) for d, t in TEXT.items()}
-    assert mixing.mix(docs).count() == sum(r.times for r in got)
+    assert mixing.mix(docs, block=16).count() == sum(r.times for r in got)
 
 
 def test_flight_keeps_both_totals():
