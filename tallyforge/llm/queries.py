@@ -51,6 +51,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op8_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
+        n AS (SELECT doc_id, len(gs) AS n FROM s),
+        g AS (SELECT doc_id, unnest(gs) AS g FROM s),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+        way AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(id, x) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, way.b FROM r JOIN way ON way.a = r.x)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.x) AS component_id, n.doc_id = min(r.x) AS kept FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n""",
     "op9_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
