@@ -50,7 +50,38 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+_RULES = quality_rules
+_LISTS = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in most)}]" for lang, most in _RULES.COMMON.items())
+_CLASS = [r"a-z", r"\x20\x09-\x0D", r"A-Z", r"0-9", r".,;:!?''\"()-", r"#*$%&|<>", r"^\x00-\x7F"]
+_COUNT = ", ".join(f"len(regexp_extract_all(t, '[{c}]'))" for c in _CLASS)
+
+
+def _js(own: str, ref: str, n: int) -> str:
+    """The Jensen-Shannon distance of two lists of n shares."""
+    side = lambda a, b: " + ".join(f"(CASE WHEN {a}[{i}] > 0 THEN {a}[{i}] * log2({a}[{i}] / (({a}[{i}] + {b}[{i}]) / 2)) ELSE 0 END)" for i in range(1, n + 1))
+    return f"sqrt(greatest(0, ({side(own, ref)} + {side(ref, own)}) / 2))"
+
+
 SQL = {
+    "op7_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, CASE lang {_LISTS} END AS most FROM d),
+        grams AS (SELECT row, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[i:i + 2] FOR i IN range(1, len(ws) - 1)]) AS g FROM w WHERE len(ws) >= 3),
+        twice AS (SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+        again AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY row),
+        b AS (SELECT row, doc_id, lang, len(ws) AS n_words, len(regexp_extract_all(t, '[^\x20\x09-\x0D]')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+                len([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')]) - len(list_distinct([x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')])) AS n_dup_lines,
+                coalesce(again.n, 0) AS n_repeat_words, greatest(length(t), 1) AS size, [{_COUNT}] AS cs, length(t) AS total,
+                CASE WHEN most IS NOT NULL THEN [len([x FOR x IN ws IF x = m]) FOR m IN most] END AS ms
+              FROM w LEFT JOIN again USING (row)),
+        f AS (SELECT *, n_words < {_RULES.MIN_WORDS} OR 100 * n_repeat_words > {_RULES.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+                [x / size FOR x IN list_append(cs, total - list_sum(cs))] AS chars, [x / greatest(n_words, 1) FOR x IN list_append(ms, n_words - list_sum(ms))] AS common FROM b),
+        r AS (SELECT lang, count(*) AS n, [{", ".join(f"avg(chars[{i}])" for i in range(1, 9))}] AS rc, [{", ".join(f"avg(common[{i}]) FILTER (n_words >= {_RULES.GUARD_WORDS_COMMON})" for i in range(1, 12))}] AS rm
+              FROM f WHERE NOT base_failed AND n_words >= {_RULES.GUARD_WORDS} AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {_RULES.GUARD_DOCS})
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce(n_words >= {_RULES.GUARD_WORDS} AND {_js("chars", "rc", 8)} > {_RULES.CLASS_LIMIT}, false)
+                AND NOT coalesce(n_words >= {_RULES.GUARD_WORDS_COMMON} AND common IS NOT NULL AND rm[1] IS NOT NULL AND {_js("common", "rm", 11)} > {_RULES.WORD_LIMIT}, false) AS kept
+        FROM f LEFT JOIN r USING (lang)""",
     "op8_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
