@@ -40,7 +40,7 @@ DISCOUNTED = 5
 #: Ids of the end and the start of a text; common words have ids from 1, others negative ones.
 END, START = FREQUENT + 1, FREQUENT + 2
 #: Words and pairs that a task counts before it hands them on.
-HELD_WORDS, HELD_PAIRS = 400_000, 4_000_000
+HELD_WORDS, HELD_PAIRS = 200_000, 1_000_000
 PIECE = 4 << 20
 #: Parts of the filter, and bits in each.
 PARTS, BITS = 1024, 1 << 17
