@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import most_common, staged
@@ -129,19 +129,44 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _count_pairs(shared):
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, as that compresses well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _count_pairs(shared, buckets: int):
+    """Pairs of ids with counts, packed by bucket: pairs of common words as sorted differences, others as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.start()
+        import zstandard
+
+        words, pack = shared.value.start(), zstandard.ZstdCompressor(level=1).compress
         held, n = [], 0
 
         def out():
             a = np.concatenate([x[0] for x in held])
             b = np.concatenate([x[1] for x in held])
             common = (a > 0) & (b > 0)
-            # Pairs of common words are small numbers, in whose order rows compress well.
-            key = np.where(common, a << 20 | b, (pair_key(a, b) >> np.uint64(1)).view(np.int64) | np.int64(1 << 62))
-            _, at, counts = np.unique(key, return_index=True, return_counts=True)
-            return pa.record_batch([pa.array(a[at]), pa.array(b[at]), pa.array(counts.astype(np.int64))], names=["a", "b", "n"])
+            key, counts = np.unique(a[common] << 20 | b[common], return_counts=True)
+            where = (pair_key(key >> 20, key & 0xFFFFF) % np.uint64(buckets)).astype(np.int64)
+            a, b = a[~common], b[~common]
+            hashed, at, more = np.unique(pair_key(a, b), return_index=True, return_counts=True)
+            a, b, where2 = a[at], b[at], (hashed % np.uint64(buckets)).astype(np.int64)
+            order, order2 = np.argsort(where, kind="stable"), np.argsort(where2, kind="stable")
+            ends, ends2 = (np.searchsorted(w[o], np.arange(buckets + 1)) for w, o in ((where, order), (where2, order2)))
+            rows = []
+            for k in range(buckets):
+                x, y = order[ends[k] : ends[k + 1]], order2[ends2[k] : ends2[k + 1]]
+                if len(x) or len(y):
+                    parts = [np.diff(key[x], prepend=0), counts[x].astype(np.int32), a[y], b[y], more[y].astype(np.int32)]
+                    rows.append((k, *(pack(_planes(v)) if len(v) else b"" for v in parts)))
+            cols = zip(zip(*rows, strict=True), PACKED, strict=True)
+            return pa.record_batch([pa.array(c, pa.int32() if f == "bucket int" else pa.binary()) for c, f in cols], names=[f.split()[0] for f in PACKED])
 
         for batch in batches:
             for raw in batch.column(0):
@@ -157,6 +182,45 @@ def _count_pairs(shared):
     return run
 
 
+PACKED = ("bucket int", "step binary", "n binary", "a binary", "b binary", "m binary")
+
+
+def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket: pairs of the bucket with their sums, and how many pairs have each low count.
+
+    One bucket is held at a time; buckets grow in number with the partitions.
+    """
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    at, held = None, []
+
+    def out():
+        step, n, a, b, m = (np.concatenate([x[k] for x in held]) for k in range(5))
+        key, back = np.unique(step, return_inverse=True)
+        sums = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
+        _, first, back2 = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
+        sums2 = np.bincount(back2, weights=m, minlength=len(first)).astype(np.int64)
+        all_a, all_b, all_n = np.r_[key >> 20, a[first]], np.r_[key & 0xFFFFF, b[first]], np.r_[sums, sums2]
+        low = np.array([int((all_n == r).sum()) for r in range(1, DISCOUNTED + 2)])
+        keep = all_n >= LEAST
+        none = pa.nulls(len(low), pa.int64())
+        names = ["a", "b", "n", "r"]
+        yield pa.record_batch([pa.array(all_a[keep]), pa.array(all_b[keep]), pa.array(all_n[keep]), pa.nulls(int(keep.sum()), pa.int32())], names=names)
+        yield pa.record_batch([none, none, pa.array(low), pa.array(range(1, DISCOUNTED + 2), pa.int32())], names=names)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at is not None and at != row[0]:
+                yield from out()
+                held = []
+            at = row[0]
+            v = [_from_planes(unpack(x), kind) if x else np.zeros(0, kind) for x, kind in zip(row[1:], ("<i8", "<i4", "<i8", "<i8", "<i4"), strict=True)]
+            held.append((np.cumsum(v[0]), *v[1:]))
+    if held:
+        yield from out()
+
+
 def discounts(n_of: dict[int, int]) -> list[float]:
     """Good-Turing discounts of the counts 1 to DISCOUNTED, in Katz's form; half a count off where that fails."""
     k = DISCOUNTED
@@ -253,11 +317,12 @@ class Model:
         self._pairs(train)
 
     def _pairs(self, train: DataFrame) -> None:
-        pairs = train.mapInArrow(_count_pairs(self.shared_words), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        seen = Observation()
-        pairs = pairs.observe(seen, *[F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)])
-        pairs = staged(pairs.filter(F.col("n") >= LEAST), "lm-pairs")
-        d = discounts({r: seen.get[f"n{r}"] for r in range(1, DISCOUNTED + 2)})
+        buckets = max(64, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        packed = train.mapInArrow(_count_pairs(self.shared_words, buckets), ", ".join(PACKED))
+        every = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_pairs, "a long, b long, n long, r int"), "lm-pairs")
+        low = {r.r: r.n for r in every.filter("r is not null").groupBy("r").agg(F.sum("n").alias("n")).collect()}
+        pairs = every.filter("r is null").select("a", "b", "n")
+        d = discounts(low)
         p1 = self.single.of(self.counts.astype(np.int64))
         rare_p1 = self.rare.select("id", self.single.column(F.col("n")).alias("value"))
         pairs = _with_value(pairs, "b", "p1", p1, rare_p1)
