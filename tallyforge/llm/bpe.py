@@ -1,38 +1,45 @@
 """BPE encoding through a table of distinct words, decoding through the table of pieces.
 
 A byte-level BPE never merges across the words that its split pattern finds, so a
-text's ids are its words' ids in a row. All texts are split in Spark tasks, the
-distinct words are counted, and each is encoded once. The ids are then joined back
-by position in two ways that together cover every word: the FREQUENT most common
-words, a table of fixed size, are broadcast and looked up where the text is; every
-other occurrence travels as a row (document, position, word) to the table of words
-and back. Texts themselves are not shuffled, only their words' ranks.
+text's ids are its words' ids in a row. All texts are split in Spark tasks, each
+distinct word is encoded once, and the ids are joined back by position in two ways
+that together cover every word. The most common words, a table of fixed size, are
+encoded first and broadcast, and looked up where the text is. Every other
+occurrence travels, packed with its document and position, to the task that has
+its word's bucket, is encoded there with all occurrences of the same word, and
+comes back to its block of documents. Texts themselves are not shuffled, only
+their words' ranks.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import staged
+from tallyforge.llm.common import most_common, staged
 
 #: Words that are broadcast with their ids, the most common ones.
 FREQUENT = 1 << 18
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
-#: Texts' words are looked up in blocks of about so many characters, to bound memory.
-BLOCK = 4 << 20
+#: Documents go in blocks of about so many characters.
+BLOCK = 2 << 20
+#: Buckets that uncommon words are dealt to, at least.
+BUCKETS = 64
 #: Characters for which the regex module and the tokenizer agree on letters, digits and space, whatever their Unicode versions.
 PLAIN = "[^\x00-ԯ -⁯₠-₿　-ヿ一-龥가-힣]"
+#: Characters that texts in Latin letters are made of, and their letters, digits and space; the plain re module is quicker on these.
+LATIN = "[^\x00-\u024f]"
+LETTER, NUMBER, BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+LATIN_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: The public split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -63,6 +70,8 @@ class Splitter:
 
         added = [x["content"] for x in json.loads(self.spec)["added_tokens"]]
         self.ready = (
+            re.compile(LATIN).search,
+            re.compile(LATIN_PATTERN).findall,
             regex.compile(PATTERN).findall,
             regex.compile(PLAIN).search,
             regex.compile(f"({'|'.join(map(regex.escape, sorted(added, key=len, reverse=True)))})").split if added else None,
@@ -72,12 +81,14 @@ class Splitter:
     def __call__(self, text: str) -> list[str]:
         if self.ready is None:
             self._start()
-        findall, odd, on_added, own = self.ready
+        wide, latin, findall, odd, on_added, own = self.ready
         parts = on_added(text) if on_added else [text]
         out: list[str] = []
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(part)
+            elif part.isascii() or not wide(part):
+                out += latin(part)
             elif odd(part):
                 out += [part[a:b] for _, (a, b) in own(part)]
             else:
@@ -123,14 +134,16 @@ def _counts(split: Splitter):
         held: Counter[str] = Counter()
 
         def out():
-            return pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            # Only the choice of common words rests on these counts, so words seen once here can stay.
+            many = {w: n for w, n in held.items() if n > 1}
+            held.clear()
+            return pa.record_batch([pa.array(many.keys(), pa.string()), pa.array(many.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 held.update(split(text.as_py() or ""))
                 if len(held) > HELD:
                     yield out()
-                    held.clear()
         if held:
             yield out()
 
@@ -141,86 +154,171 @@ def _encode_words(split: Splitter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = split.tokenizer()
         for batch in batches:
-            ws = batch.column(0).to_pylist()
-            ids = [np.array(t.encode(w, add_special_tokens=False).ids, dtype="<i4").tobytes() for w in ws]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            yield pa.record_batch([batch.column(0), pa.array(_encoded(t, batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
 
     return run
 
 
-def word_table(texts: DataFrame, split: Splitter) -> DataFrame:
-    """word, n (occurrences in the column ``text``) and ids (little-endian 32-bit) of each distinct word."""
-    counts = texts.select("text").mapInArrow(_counts(split), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return staged(counts.mapInArrow(_encode_words(split), "word string, n long, ids binary"), "bpe-words")
+def _encoded(t, ws: list[str]) -> list[bytes]:
+    return [np.array(t.encode(w, add_special_tokens=False).ids, dtype="<i4").tobytes() for w in ws]
 
 
-def _ranked(split: Splitter, shared, rare: bool):
-    """Of each text either its words' ranks, or its words without a rank, with their positions."""
+def common_words(texts: DataFrame, split: Splitter, frequent: int) -> Frequent:
+    """At most ``frequent`` of the most common words of the column ``text``, encoded."""
+    counts = staged(texts.select("text").mapInArrow(_counts(split), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-counts")
+    high, _ = most_common(counts, "n", frequent)
+    return Frequent(high.select("word").mapInArrow(_encode_words(split), "word string, ids binary").toArrow())
+
+
+def _pack(compress, *arrays: pa.Array) -> bytes:
+    """Arrays of one length as one compressed piece of Arrow's stream format."""
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch(list(arrays), names=[str(k) for k in range(len(arrays))])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return compress(sink.getvalue().to_pybytes())
+
+
+def _unpack(raw: bytes) -> list[list]:
+    with pa.ipc.open_stream(raw) as stream:
+        return [c.to_pylist() for c in stream.read_all().columns]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+    """(name, doc_ids, texts) of blocks of rows. The name is a hash of what is in the block, so any rerun gives the same."""
+    import xxhash
+
+    docs, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
+            docs.append(doc)
+            texts.append(text)
+            held += len(text)
+            if held >= BLOCK:
+                yield _name(xxhash, docs, texts), docs, texts
+                docs, texts, held = [], [], 0
+    if docs:
+        yield _name(xxhash, docs, texts), docs, texts
+
+
+def _name(xxhash, docs: list, texts: list[str]) -> int:
+    h = xxhash.xxh3_64()
+    for doc, text in zip(docs, texts, strict=True):
+        h.update(f"{doc}:{len(text)}:")
+        h.update(text.encode())
+    return h.intdigest() - (1 << 63)
+
+
+def _ranked(split: Splitter, shared):
+    """Of each block its documents, and their words' ranks with 0 for the uncommon ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value.start().rank
-        for batch in batches:
-            docs, hashes, out, held = batch.column(0), batch.column(1), [], 0
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py() or ""
+        import zstandard
+
+        rank, pack = shared.value.start().rank, zstandard.ZstdCompressor(level=3).compress
+        for name, docs, texts in _blocks(batches):
+            rows = []
+            for text in texts:
                 ws = split(text)
                 ranks = np.fromiter(map(rank.__getitem__, ws), dtype="<u4", count=len(ws))
-                if rare:
-                    out += [(i, int(k), ws[k]) for k in np.flatnonzero(ranks == 0)]
-                else:
-                    out.append((i, LAST, zlib.compress(ranks.view("u1").reshape(-1, 4).T.tobytes(), 1)))
-                held += len(text)
-                if held > BLOCK or i + 1 == batch.num_rows:
-                    if out:
-                        at, pos, what = zip(*out, strict=True)
-                        at = pa.array(at, pa.int64())
-                        yield pa.record_batch([docs.take(at), hashes.take(at), pa.array(pos, pa.int32()), pa.array(what, pa.string() if rare else pa.binary())], names=["doc_id", "h", "pos", "what"])
-                    out, held = [], 0
+                rows.append(ranks.view("u1").reshape(-1, 4).T.tobytes())
+            yield pa.record_batch([pa.array([name]), pa.array([1], pa.int32()), pa.array([_pack(pack, pa.array(docs, pa.int64()), pa.array(rows, pa.binary()))], pa.binary())], names=["block", "kind", "what"])
+
+    return run
+
+
+def _uncommon(split: Splitter, shared, buckets: int):
+    """Of each block the words without a rank, with document and position, packed by the bucket of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        import zstandard
+
+        rank, pack, digest = shared.value.start().rank, zstandard.ZstdCompressor(level=3).compress, xxhash.xxh3_64_intdigest
+        for name, _, texts in _blocks(batches):
+            found: dict[int, list] = {}
+            for i, text in enumerate(texts):
+                for k, w in enumerate(split(text)):
+                    if w not in rank:
+                        found.setdefault(digest(w) % buckets, []).append((i, k, w))
+            if found:
+                blobs = [_pack(pack, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True))) for rows in found.values()]
+                yield pa.record_batch([pa.array(found.keys(), pa.int32()), pa.array([name] * len(blobs)), pa.array(blobs, pa.binary())], names=["bucket", "block", "what"])
 
     return run
 
 
-#: The position under which a text's ranks come after its other words.
-LAST = 2**31 - 1
+def _encode_buckets(split: Splitter):
+    """From rows sorted by bucket: the words' ids in place of the words. A word is encoded where it first occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        t, at, known = split.tokenizer(), None, {}
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out = []
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if at != bucket or len(known) > 2 * HELD:
+                    at, known = bucket, {}
+                docs, places, ws = _unpack(unpack(raw.as_py()))
+                new = [w for w in dict.fromkeys(ws) if w not in known]
+                known.update(zip(new, _encoded(t, new), strict=True))
+                out.append(_pack(pack, pa.array(docs, pa.int32()), pa.array(places, pa.int32()), pa.array([known[w] for w in ws], pa.binary())))
+            yield pa.record_batch([batch.column(1), pa.array([0] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "kind", "what"])
+
+    return run
 
 
 def _assemble(shared):
-    """From rows sorted by document and position: the ids of each text."""
+    """From rows sorted by block and kind: the ids of each text. A block's uncommon words come before its ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.start()
+        import zstandard
+
+        words, unpack = shared.value.start(), zstandard.ZstdDecompressor().decompress
         key, rest = None, {}
         for batch in batches:
-            docs, out, held = [], [], 0
-            for doc, h, pos, what in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if key != (doc, h):
-                    key, rest = (doc, h), {}
-                if pos != LAST:
-                    rest[pos] = np.frombuffer(what, dtype="<i4")
+            for block, kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key != block:
+                    key, rest = block, {}
+                cols = _unpack(unpack(raw.as_py()))
+                if kind == 0:
+                    for i, k, ids in zip(*cols, strict=True):
+                        rest.setdefault(i, {})[k] = np.frombuffer(ids, dtype="<i4")
                     continue
-                raw = np.frombuffer(zlib.decompress(what), dtype="u1").reshape(4, -1)
-                ranks = np.ascontiguousarray(raw.T).view("<u4").ravel()
-                lens = words.lens[ranks]
-                for k, ids in rest.items():
-                    lens[k] = len(ids)
-                ends = np.cumsum(lens)
-                begins = ends - lens
-                src = np.repeat(words.starts[ranks] - begins, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-                found = words.flat[np.minimum(src, len(words.flat) - 1)]
-                for k, ids in rest.items():
-                    found[begins[k] : ends[k]] = ids
-                docs.append(doc)
-                out.append(found)
-                held += len(found)
-                if held > BLOCK:
+                docs, out, held = [], [], 0
+                for i, (doc, ranks) in enumerate(zip(*cols, strict=True)):
+                    docs.append(doc)
+                    out.append(_ids(words, ranks, rest.get(i, {})))
+                    held += len(out[-1])
+                    if held > BLOCK:
+                        yield _ids_batch(docs, out)
+                        docs, out, held = [], [], 0
+                if docs:
                     yield _ids_batch(docs, out)
-                    docs, out, held = [], [], 0
-            if docs:
-                yield _ids_batch(docs, out)
 
     return run
 
 
+def _ids(words: Frequent, packed: bytes, rest: dict[int, np.ndarray]) -> np.ndarray:
+    """The ids of one text from its ranks and the ids of its uncommon words by position."""
+    ranks = np.ascontiguousarray(np.frombuffer(packed, dtype="u1").reshape(4, -1).T).view("<u4").ravel()
+    if int((ranks == 0).sum()) != len(rest):
+        raise RuntimeError("a text's uncommon words did not all come back")
+    lens = words.lens[ranks]
+    for k, ids in rest.items():
+        lens[k] = len(ids)
+    ends = np.cumsum(lens)
+    begins = ends - lens
+    src = np.repeat(words.starts[ranks] - begins, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+    found = words.flat[np.clip(src, 0, len(words.flat) - 1)]
+    for k, ids in rest.items():
+        found[begins[k] : ends[k]] = ids
+    return found
+
+
 def _ids_batch(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -237,16 +335,13 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """
     spark = docs.sparkSession
     split = Splitter(read_spec(path))
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    words = word_table(texts, split)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids", "n").toArrow()
-    least = pc.min(top.column("n")).as_py() if top.num_rows == frequent else 0
-    shared = spark.sparkContext.broadcast(Frequent(top))
-    ranks = texts.mapInArrow(_ranked(split, shared, rare=False), "doc_id long, h long, pos int, what binary")
-    other = texts.mapInArrow(_ranked(split, shared, rare=True), "doc_id long, h long, pos int, what string")
-    # Words that often stand among the rest are no hot keys: none is more common than the broadcast ones.
-    other = other.join(words.filter(F.col("n") <= least).select(F.col("word").alias("what"), "ids"), "what").select("doc_id", "h", "pos", F.col("ids").alias("what"))
-    every = ranks.unionByName(other).repartition("doc_id", "h").sortWithinPartitions("doc_id", "h", "pos")
+    texts = docs.select("doc_id", "text")
+    shared = spark.sparkContext.broadcast(common_words(texts, split, frequent))
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    other = texts.mapInArrow(_uncommon(split, shared, buckets), "bucket int, block long, what binary").repartition("bucket").sortWithinPartitions("bucket")
+    other = other.mapInArrow(_encode_buckets(split), "block long, kind int, what binary")
+    ranks = texts.mapInArrow(_ranked(split, shared), "block long, kind int, what binary")
+    every = ranks.unionByName(other).repartition("block").sortWithinPartitions("block", "kind")
     return every.mapInArrow(_assemble(shared), "doc_id long, ids array<int>")
 
 
