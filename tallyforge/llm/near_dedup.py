@@ -40,7 +40,7 @@ MANTISSA = 10
 #: An estimate is let through from so many standard deviations below the limit on.
 DEVIATIONS = 5
 #: Members of a group that are compared in one block.
-BLOCK = 128
+BLOCK = 1024
 #: Members compared with one copy of a leader's set.
 SHARE = 256
 #: Tables of at most so many narrow rows are broadcast, larger ones joined by a shuffle.
