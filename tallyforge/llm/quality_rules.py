@@ -48,24 +48,35 @@ GUARD_DOCS = 20
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    """Lines with a word that equal an earlier one."""
+    lines = F.array_remove(F.split(F.regexp_replace(text, r"(?dm)^[\x20\x09\x0B-\x0D]+$", ""), "\n"), "")
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
+#: Up to so many distinct repeated windows are looked up in a list, more of them by sorting.
+LISTED = 32
+
+
 def with_repeats(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: the words that lie in a 3-word window found twice or more in ``ws``.
 
-    Windows are told apart by 64-bit hashes. Equal ones meet by sorting (hash,
-    place) within the row, n log n in the length of a text, and only for texts
-    where the distinct hashes are fewer than the windows.
+    Windows are told apart by 64-bit hashes, which are sorted to see which repeat.
+    The places of the repeating ones come from a look-up of each window in their
+    list; where that list is long, from sorting (hash, place) instead, so the work
+    is n log n in the length of a text, whatever repeats.
     """
-    ws, grams, sort = F.col("ws"), F.col("grams"), F.col("sorted")
-    df = df.withColumn("grams", F.when(F.size(ws) >= 3, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("sorted", F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(F.arrays_zip(grams.alias("h"), F.sequence(F.lit(0), F.size(grams) - 1).alias("p")))))
-    twin = lambda j: (F.get(sort, j)["h"] == F.get(sort, j - 1)["h"]) | (F.get(sort, j)["h"] == F.get(sort, j + 1)["h"])
-    df = df.withColumn("again", F.transform(F.filter(F.sequence(F.lit(0), F.size(sort) - 1), twin), lambda j: F.get(sort, j)["p"]))
+    ws, grams, order, twice, pairs = (F.col(c) for c in ("ws", "grams", "sorted", "twice", "pairs"))
+    hashes = F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    df = df.withColumn("grams", F.slice(hashes, 1, F.greatest(F.size(ws) - 2, F.lit(0)))).drop("ws")
+    df = df.withColumn("sorted", F.sort_array(grams))
+    df = df.withColumn("twice", F.array_distinct(F.filter(order, lambda x, i: x == F.get(order, i + 1)))).drop("sorted")
+    df = df.withColumn("pairs", F.when(F.size(twice) > LISTED, F.sort_array(F.arrays_zip(grams.alias("h"), F.sequence(F.lit(0), F.size(grams) - 1).alias("p")))))
+    twin = lambda x, j: (x["h"] == F.get(pairs, j - 1)["h"]) | (x["h"] == F.get(pairs, j + 1)["h"])
+    listed = F.transform(F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(twice, g), i)), lambda p: p.isNotNull()), lambda p: p)
+    places = F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(pairs.isNull(), listed).otherwise(F.transform(F.filter(pairs, twin), lambda x: x["p"]))
+    df = df.withColumn("again", places).drop("grams", "twice", "pairs")
     covered = F.array_distinct(F.concat(F.col("again"), F.transform("again", lambda p: p + 1), F.transform("again", lambda p: p + 2)))
-    return df.withColumn("n_repeat_words", F.when(sort.isNull(), 0).otherwise(F.size(covered)).cast("long")).drop("grams", "sorted", "again")
+    return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("again")
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -73,36 +84,36 @@ def features(docs: DataFrame) -> DataFrame:
 
     ``chars`` has a share for each class and the rest; ``common`` one for each
     common word of the language and the rest, null where the language has no list.
+    What generated code can do comes first, and texts are dropped before the rest.
     """
     df = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t0"))
-    df = df.withColumn("ws", words(F.col("t0")))
-    df = with_repeats(df.withColumn("n_dup_lines", _dup_lines(F.col("t0"))))
     for i, (_, pattern) in enumerate(CLASSES):
         df = df.withColumn(f"t{i + 1}", F.regexp_replace(f"t{i}", pattern, ""))
-    n = len(CLASSES)
-    counts = [F.length(f"t{i}") - F.length(f"t{i + 1}") for i in range(n)] + [F.length(f"t{n}")]
+    n, m = len(CLASSES), len(next(iter(COMMON.values())))
+    listed = F.coalesce(*[F.when(F.col("lang") == lang, F.array(*map(F.lit, most))) for lang, most in COMMON.items()], F.array().cast("array<string>"))
+    df = df.withColumn("ws", words(F.col("t0")))
     at = {name: i for i, (name, _) in enumerate(CLASSES)}
+    counts = [F.length(f"t{i}") - F.length(f"t{i + 1}") for i in range(n)] + [F.length(f"t{n}")]
     total = F.greatest(F.length("t0"), F.lit(1)).cast("double")
-    lists = [F.when(F.col("lang") == lang, _word_counts(F.col("ws"), most)) for lang, most in COMMON.items()]
-    n_words = F.size("ws")
-    return df.select(
+    # Longer chains of loops in one generated method would pass the size up to which the JVM compiles it.
+    df = df.select(
         "doc_id",
         "lang",
-        n_words.cast("long").alias("n_words"),
+        "ws",
+        listed.alias("listed"),
+        F.size("ws").cast("long").alias("n_words"),
         (F.length("t0") - counts[at["space"]]).cast("long").alias("word_chars"),
         counts[at["symbol"]].cast("long").alias("n_symbols"),
-        "n_dup_lines",
-        "n_repeat_words",
+        _dup_lines(F.col("t0")).alias("n_dup_lines"),
         F.array(*[c / total for c in counts]).alias("chars"),
-        F.transform(F.coalesce(*lists), lambda c: c / F.greatest(n_words, F.lit(1)).cast("double")).alias("common"),
     )
-
-
-def _word_counts(ws: Column, most: list[str]) -> Column:
-    """How often each common word stands in ``ws``, and the number of all others."""
-    known = F.filter(ws, lambda w: F.lower(w).isin(*most))
-    known = F.transform(known, F.lower)
-    return F.concat(F.transform(F.array(*map(F.lit, most)), lambda x: F.size(F.filter(known, lambda w: w == x))), F.array(F.size(ws) - F.size(known)))
+    # Words as places in the list of their language, 0 for others; with one of each place put in, sorted places tell the counts.
+    df = df.withColumn("which", F.sort_array(F.concat(F.transform("ws", lambda w: F.array_position(F.col("listed"), w)), F.sequence(F.lit(0).cast("long"), F.lit(m + 1).cast("long"))))).drop("listed")
+    first = [F.array_position("which", F.lit(k).cast("long")) for k in range(m + 2)]
+    some = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    common = [(first[k + 1] - first[k] - 1) / some for k in [*range(1, m + 1), 0]]
+    df = df.withColumn("common", F.when(F.col("lang").isin(*COMMON), F.array(*common))).drop("which")
+    return with_repeats(df)
 
 
 def _xlog(p: Column, m: Column) -> Column:
