@@ -206,7 +206,8 @@ def _in_blocks(percent: int, nearest: bool):
     """From rows sorted by block and side: near pairs of different components.
 
     Side 0 holds at most about BLOCK members, which are kept; the others stream by.
-    With ``nearest`` each kept member gives only its nearest one in each component.
+    With ``nearest`` each kept member gives only its nearest one in each component;
+    without, a pair that meets in several groups is named in one of them.
     """
     least = least_estimate(percent)
 
@@ -226,14 +227,14 @@ def _in_blocks(percent: int, nearest: bool):
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "est"])
 
         for batch in batches:
-            for key, i, j, side, x, comp, n, regs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, side, x, comp, n, regs, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (key, i, j):
                     if best or found:
                         yield out()
                     at, kept, table, held = (key, i, j), [], None, 0
                 r = np.frombuffer(regs, np.uint16)
                 if side == 0:
-                    kept.append((x, comp, n, r))
+                    kept.append((x, comp, n, r, set(own)))
                     continue
                 if not kept:
                     continue
@@ -249,9 +250,11 @@ def _in_blocks(percent: int, nearest: bool):
                     top, who = best.setdefault(comp, (np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)))
                     better = good & (est > top)
                     top[better], who[better] = est[better], x
-                else:
-                    found.append((ids[good], np.full(int(good.sum()), x), est[good]))
-                    held += int(good.sum())
+                else:  # a pair is named in the first of the open groups that both are in
+                    own = set(own)
+                    first = [k for k in np.flatnonzero(good).tolist() if min(kept[k][4] & own) == key]
+                    found.append((ids[first], np.full(len(first), x), est[first]))
+                    held += len(first)
                     if held > 200_000:
                         yield out()
                         held = 0
@@ -395,7 +398,10 @@ class _Search:
         outer = all_rows.filter("comp != largest").select("key", "id", "comp", deal("outer").alias("i"), copies("blocks").alias("j"), F.lit(0).alias("side"))
         every = all_rows.select("key", "id", "comp", deal("blocks").alias("j"), copies("outer").alias("i"), F.lit(1).alias("side"))
         dealt = staged(outer.unionByName(every), "near-dealt")
-        with_regs = self.reps.join(few(dealt, NARROW), "id").select("key", "i", "j", "side", "id", "comp", "n", "regs")
+        # A member's open groups, one for each band at most.
+        own = staged(rows.groupBy("id").agg(F.collect_set("key").alias("own")), "near-own")
+        regs = self.reps.join(few(own, WIDE), "id")
+        with_regs = regs.join(few(dealt, NARROW), "id").select("key", "i", "j", "side", "id", "comp", "n", "regs", "own")
         pairs = with_regs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_in_blocks(self.percent, nearest), "a long, b long, est double")
         pairs = staged(pairs, "near-across")
         if nearest:  # over all groups and blocks: the nearest in each other component
