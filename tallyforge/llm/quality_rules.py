@@ -2,9 +2,14 @@
 
 Each document has two histograms: the shares of eight character classes, and the
 shares of its language's ten most common words. Their Jensen-Shannon distances
-(base 2, from 0 to 1) to the mean histograms of all documents of that language
-decide, beside two plain rules on length and repetition. Short documents are not
-judged by histograms, as theirs are noise.
+(base 2, from 0 to 1) to the usual histograms of that language decide, beside two
+plain rules on length and repetition. Short documents are not judged by
+histograms, as theirs are noise.
+
+What is usual comes from medians over the language's distinct texts, which junk
+does not move onto itself while it is the lesser part. The means over all
+documents, which large shares of junk do move, are there as the SQL of the query
+op7 spells them out.
 
 Everything here is DataFrame functions that run in the JVM.
 """
@@ -126,32 +131,68 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """``rows`` with class_distance and word_distance to the references of their language; null where there is none to ask."""
+    out = rows.join(few(refs), "lang", "left")
+    out = out.withColumn("class_distance", F.when(F.col("n_words") >= GUARD_WORDS, js_distance(F.col("chars"), F.col("ref_chars"))))
+    return out.withColumn("word_distance", F.when(F.col("n_words") >= GUARD_WORDS_COMMON, js_distance(F.col("common"), F.col("ref_common"))))
+
+
+def _odd() -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > limit, F.lit(False)) for c, limit in (("class_distance", CLASS_LIMIT), ("word_distance", WORD_LIMIT))])
+
+
+def _references(rows: DataFrame, one) -> DataFrame:
+    """lang, n_docs and two histograms of ``rows``, whose shares the aggregate ``one`` makes; common words from long texts only."""
+    n, m = len(CLASSES) + 1, len(next(iter(COMMON.values()))) + 1
+    long = F.col("n_words") >= GUARD_WORDS_COMMON
+    chars, common = [one(F.get("chars", F.lit(i))) for i in range(n)], [one(F.when(long, F.get("common", F.lit(i)))) for i in range(m)]
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.array(*chars).alias("ref_chars"), F.array(*common).alias("ref_common"))
+
+
+def _scaled(shares: Column) -> Column:
+    total = F.greatest(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), F.lit(1e-9))
+    return F.transform(shares, lambda x: x / total)
+
+
+def _usual(rows: DataFrame) -> DataFrame:
+    """References that the lesser part of a language's distinct texts can't move far.
+
+    Medians share by share come first; the references are the means over the
+    texts that the tests keep against those, so junk has no part in them.
+    Medians are of shares to four places, so each stands on 10,001 counts at most.
+    """
+    each = staged(rows.select("lang", "chars", "common", "n_words", "word_chars").distinct(), "quality-texts")
+    middle = _references(each, lambda c: F.percentile(F.round(c, 4), F.lit(0.5))).filter(F.col("n_docs") >= GUARD_DOCS)
+    middle = staged(middle.withColumns({c: _scaled(F.col(c)) for c in ("ref_chars", "ref_common")}), "quality-medians")
+    near = _references(_distances(each.join(few(middle.select("lang")), "lang", "left_semi"), middle).filter(~_odd()).drop("n_docs", "ref_chars", "ref_common"), F.avg)
+    near = near.select("lang", F.col("ref_chars").alias("near_chars"), F.col("ref_common").alias("near_common"))
+    pick = lambda a, b: F.when(F.get(a, F.lit(0)).isNotNull(), F.col(a)).otherwise(F.col(b))
+    return middle.join(near, "lang", "left").select("lang", "n_docs", pick("near_chars", "ref_chars").alias("ref_chars"), pick("near_common", "ref_common").alias("ref_common"))
+
+
+def verdicts(docs: DataFrame, as_sql: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, the distances, base_failed and kept.
 
     base_failed: fewer than MIN_WORDS words, or over half of the words in
     repeated 3-word windows. Of the rest a document goes if its class distance is
     over CLASS_LIMIT or its common-word distance over WORD_LIMIT. Distances are
     null, and then decide nothing, for a null or rare language (fewer than
-    GUARD_DOCS documents that a reference can stand on), for common words also
-    where the language has no list or the text fewer than GUARD_WORDS_COMMON
+    GUARD_DOCS distinct texts that a reference can stand on), for common words
+    also where the language has no list or the text fewer than GUARD_WORDS_COMMON
     words. A null text has no words and fails. Repeated rows are judged alike.
     An empty table gives no rows. Only doc_id, lang and text are read.
+
+    With ``as_sql`` the references are plain means over all documents, junk and
+    copies included, as the SQL of the query has them.
     """
     rows = staged(features(docs), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    n, m = len(CLASSES) + 1, len(next(iter(COMMON.values()))) + 1
-    means = lambda c, k, guard: F.array(*[F.avg(F.when(guard, F.get(c, F.lit(i)))) for i in range(k)])
-    sound = ~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS)
-    long = sound & (F.col("n_words") >= GUARD_WORDS_COMMON)
-    refs = rows.filter(sound).groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), means("chars", n, sound).alias("ref_chars"), means("common", m, long).alias("ref_common"))
-    refs = staged(refs.filter(F.col("lang").isNotNull() & (F.col("n_docs") >= GUARD_DOCS)), "quality-refs")
-    out = rows.join(few(refs), "lang", "left")
-    out = out.withColumn("class_distance", F.when(F.col("n_words") >= GUARD_WORDS, js_distance(F.col("chars"), F.col("ref_chars"))))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") >= GUARD_WORDS_COMMON, js_distance(F.col("common"), F.col("ref_common"))))
-    odd = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > limit, F.lit(False)) for c, limit in (("class_distance", CLASS_LIMIT), ("word_distance", WORD_LIMIT))])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
+    sound = rows.filter(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS) & F.col("lang").isNotNull())
+    refs = _references(sound, F.avg).filter(F.col("n_docs") >= GUARD_DOCS) if as_sql else _usual(sound)
+    out = _distances(rows, staged(refs, "quality-refs"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~_odd()).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

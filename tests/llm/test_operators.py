@@ -55,6 +55,17 @@ def test_divergence_drops_junk_and_keeps_prose(spark):
     assert all(r.kept for d, r in got.items() if d < 1000)
 
 
+def test_a_third_of_junk_does_not_become_the_reference(spark):
+    r = random.Random(11)
+    prose = [(i, ". ".join(" ".join(r.choice([*plain.PROSE, f"word{r.randrange(900)}"]) for _ in range(12)) for _ in range(25)), "en") for i in range(60)]
+    junk = [(1000 + i, " ".join(f"{r.choice('QWXZ')}{r.randrange(10**6)}###$$$" for _ in range(300)), "en") for i in range(30)]
+    docs = spark.createDataFrame([*prose, *junk], "doc_id long, text string, lang string")
+    assert {x.doc_id for x in quality_rules.keep_good(docs).collect()} == {i for i, _, _ in prose}
+    # Copies of one junk text count once, even where they are the greater part.
+    copies = spark.createDataFrame([*prose, *[(2000 + i, junk[0][1], "en") for i in range(90)]], docs.schema)
+    assert {x.doc_id for x in quality_rules.keep_good(copies).collect()} == {i for i, _, _ in prose}
+
+
 def test_distance():
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
     m = (p + q) / 2
