@@ -33,8 +33,11 @@ from tallyforge.llm.common import most_common, staged
 #: Words and pairs that are broadcast, the most common ones.
 FREQUENT = 1 << 18
 FREQUENT_PAIRS = 1 << 20
-#: Pairs seen less often are left to the backoff, as Katz proposed for those seen once.
+#: Unless told otherwise a model leaves pairs seen less often to the backoff, as Katz proposed for those seen once.
+#: The query op6 stores all pairs.
 LEAST = 2
+#: Pairs that are handed on at once.
+HANDED = 1 << 16
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Ids of the end and the start of a text; common words have ids from 1, others negative ones.
@@ -185,40 +188,46 @@ def _count_pairs(shared, buckets: int):
 PACKED = ("bucket int", "step binary", "n binary", "a binary", "b binary", "m binary")
 
 
-def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket: pairs of the bucket with their sums, and how many pairs have each low count.
+def _sum_pairs(least: int):
+    """From rows sorted by bucket: pairs of the bucket seen ``least`` times or more with their sums, and how many pairs have each low count.
 
     One bucket is held at a time; buckets grow in number with the partitions.
     """
-    import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    at, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def out():
-        step, n, a, b, m = (np.concatenate([x[k] for x in held]) for k in range(5))
-        key, back = np.unique(step, return_inverse=True)
-        sums = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
-        _, first, back2 = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
-        sums2 = np.bincount(back2, weights=m, minlength=len(first)).astype(np.int64)
-        all_a, all_b, all_n = np.r_[key >> 20, a[first]], np.r_[key & 0xFFFFF, b[first]], np.r_[sums, sums2]
-        low = np.array([int((all_n == r).sum()) for r in range(1, DISCOUNTED + 2)])
-        keep = all_n >= LEAST
-        none = pa.nulls(len(low), pa.int64())
-        names = ["a", "b", "n", "r"]
-        yield pa.record_batch([pa.array(all_a[keep]), pa.array(all_b[keep]), pa.array(all_n[keep]), pa.nulls(int(keep.sum()), pa.int32())], names=names)
-        yield pa.record_batch([none, none, pa.array(low), pa.array(range(1, DISCOUNTED + 2), pa.int32())], names=names)
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, held = None, []
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at is not None and at != row[0]:
-                yield from out()
-                held = []
-            at = row[0]
-            v = [_from_planes(unpack(x), kind) if x else np.zeros(0, kind) for x, kind in zip(row[1:], ("<i8", "<i4", "<i8", "<i8", "<i4"), strict=True)]
-            held.append((np.cumsum(v[0]), *v[1:]))
-    if held:
-        yield from out()
+        def out():
+            step, n, a, b, m = (np.concatenate([x[k] for x in held]) for k in range(5))
+            key, back = np.unique(step, return_inverse=True)
+            sums = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
+            _, first, back2 = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
+            sums2 = np.bincount(back2, weights=m, minlength=len(first)).astype(np.int64)
+            all_a, all_b, all_n = np.r_[key >> 20, a[first]], np.r_[key & 0xFFFFF, b[first]], np.r_[sums, sums2]
+            low = np.array([int((all_n == r).sum()) for r in range(1, DISCOUNTED + 2)])
+            keep = np.flatnonzero(all_n >= least)
+            none = pa.nulls(len(low), pa.int64())
+            names = ["a", "b", "n", "r"]
+            for start in range(0, len(keep), HANDED):
+                k = keep[start : start + HANDED]
+                yield pa.record_batch([pa.array(all_a[k]), pa.array(all_b[k]), pa.array(all_n[k]), pa.nulls(len(k), pa.int32())], names=names)
+            yield pa.record_batch([none, none, pa.array(low), pa.array(range(1, DISCOUNTED + 2), pa.int32())], names=names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and at != row[0]:
+                    yield from out()
+                    held = []
+                at = row[0]
+                v = [_from_planes(unpack(x), kind) if x else np.zeros(0, kind) for x, kind in zip(row[1:], ("<i8", "<i4", "<i8", "<i8", "<i4"), strict=True)]
+                held.append((np.cumsum(v[0]), *v[1:]))
+        if held:
+            yield from out()
+
+    return run
 
 
 def discounts(n_of: dict[int, int]) -> list[float]:
@@ -292,8 +301,9 @@ def _with_value(df: DataFrame, key: str, name: str, table: np.ndarray, rest: Dat
 class Model:
     """Counts, backoff weights and gains, learned from the texts of ``docs`` that are not held out."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, least: int | None = None) -> None:
         spark = docs.sparkSession
+        self.least = LEAST if least is None else least
         self.spark = spark
         train = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("raw"))
         words = train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -319,7 +329,7 @@ class Model:
     def _pairs(self, train: DataFrame) -> None:
         buckets = max(64, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         packed = train.mapInArrow(_count_pairs(self.shared_words, buckets), ", ".join(PACKED))
-        every = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_pairs, "a long, b long, n long, r int"), "lm-pairs")
+        every = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_pairs(self.least), "a long, b long, n long, r int"), "lm-pairs")
         low = {r.r: r.n for r in every.filter("r is not null").groupBy("r").agg(F.sum("n").alias("n")).collect()}
         pairs = every.filter("r is null").select("a", "b", "n")
         d = discounts(low)
@@ -448,17 +458,19 @@ def _score(shared_words, shared):
     return run
 
 
-def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model | None = None, least: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, lower-cased in A-Z, and one end. base_score
     is the sum of log10((c + 1) / (N + V + 1)); score the model's log10
-    probability of the text. The model is by default learned from ``docs``; one
+    probability of the text. The model is by default learned from ``docs``, with the
+    pairs seen ``least`` times or more (LEAST unless given; 1 stores every pair that
+    was counted, those seen once with their own discount); one
     without any text knows nothing and gives each word the whole mass of unknown
     ones. A null text is empty and has one token. Repeated rows each get their
     row. An empty table gives no rows. Only doc_id and text are read.
     """
-    model = model or Model(docs)
+    model = model or Model(docs, least)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("raw"))
     sent = rows.mapInArrow(_score(model.shared_words, sc.broadcast(model.tables())), SENT)

@@ -31,7 +31,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(read(spark, sf_dir, "documents"))
+    return lm_scoring.score(read(spark, sf_dir, "documents"), least=1)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
