@@ -66,6 +66,15 @@ def test_a_third_of_junk_does_not_become_the_reference(spark):
     assert {x.doc_id for x in quality_rules.keep_good(copies).collect()} == {i for i, _, _ in prose}
 
 
+def test_short_junk_without_common_words_goes(spark):
+    r = random.Random(12)
+    prose = [(i, " ".join(r.choice([*plain.PROSE, f"word{r.randrange(900)}"]) for _ in range(300 if i % 2 else 150)), "en") for i in range(60)]
+    made = lambda: "".join(r.choice(["on", "ator", "sh", "ble", "annt", "ha", "ri"]) for _ in range(4))
+    menus = [(1000 + i, " | ".join(made() for _ in range(r.randrange(60, 190))), "en") for i in range(6)]
+    got = {x.doc_id for x in quality_rules.keep_good(spark.createDataFrame([*prose, *menus], "doc_id long, text string, lang string")).collect()}
+    assert got == {i for i, _, _ in prose}
+
+
 def test_distance():
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
     m = (p + q) / 2
