@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import staged, without
+from tallyforge.llm.common import few, staged
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 747_796_405)
@@ -72,12 +72,12 @@ def _print_batches(huge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, raw, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = (raw.as_py() or b"").lower()
                 whole = _pack(fingerprint(data)) if len(data) <= huge else None
-                rows.append((doc, len(data), whole, hashlib.sha256(data).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "fp", "text_sha256"])
+                rows.append((doc, len(data), whole, hashlib.sha256(data).hexdigest(), h))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "fp", "text_sha256", "h"])
 
     return run
 
@@ -101,14 +101,19 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["text_sha256", "h0", "h1"])
 
 
+def _raw(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's bytes and their hash, which tells rows of one doc_id apart."""
+    return docs.select("doc_id", F.col("text").cast("binary").alias("raw"), F.xxhash64(F.col("text")).alias("h"))
+
+
 def fingerprints(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
-    """doc_id, n_bytes, fp and text_sha256 of each row's text, lower-cased A-Z only.
+    """doc_id, n_bytes, fp and text_sha256 of each row's text, lower-cased A-Z only, and a hash ``h`` of it as it is.
 
     A null text counts as empty. Texts of over ``huge`` bytes are cut into chunks
     that are hashed by as many tasks as Spark deals them to.
     """
-    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    out = raw.mapInArrow(_print_batches(huge), "doc_id long, n_bytes long, fp long, text_sha256 string")
+    raw = _raw(docs)
+    out = raw.mapInArrow(_print_batches(huge), "doc_id long, n_bytes long, fp long, text_sha256 string, h long")
     large = raw.filter(F.octet_length("raw") > huge)
     out = staged(out, "fingerprints")
     if large.isEmpty():
@@ -124,7 +129,7 @@ def fingerprints(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
         .dropDuplicates(["text_sha256"])
         .select("text_sha256", F.shiftleft("h0", 31).bitwiseOR(F.col("h1")).alias("fp_large"))
     )
-    return staged(out.join(sums, "text_sha256", "left").select("doc_id", "n_bytes", F.coalesce("fp", "fp_large").alias("fp"), "text_sha256"), "fingerprints")
+    return staged(out.join(sums, "text_sha256", "left").select("doc_id", "n_bytes", F.coalesce("fp", "fp_large").alias("fp"), "text_sha256", "h"), "fingerprints")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,22 +139,30 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary())], names=["text_sha256", "raw"])
 
 
+#: Rows to drop are broadcast up to so many.
+GONE = 400_000
 #: Members of a group that are compared with one copy of the kept text.
 SHARE = 256
 
 
+#: Columns of a chunk of a member of the group (fp, n_bytes); is_kept marks texts of the kept doc_id, once for each share.
+CHUNKED = "fp long, n_bytes long, share int, idx int, is_kept boolean, text_sha256 string, part binary"
+
+
 def _member_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (keep, share, idx, doc_id or null for the kept text, part); the kept text once for each share."""
-    names = ["keep", "share", "idx", "doc_id", "part"]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    """From rows (doc_id, raw, text_sha256, fp, n_bytes, keep, size): their texts in chunks, as CHUNKED."""
+    names = ["fp", "n_bytes", "share", "idx", "is_kept", "text_sha256", "part"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.binary())
     for batch in batches:
         rows, held = [], 0
-        for doc, raw, keep, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, raw, sha, fp, n, keep, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data, shares = (raw or b"").lower(), -(-size // SHARE)
+            if hashlib.sha256(data).hexdigest() != sha:  # another row of this doc_id with an equal hash
+                continue
             to = range(shares) if doc == keep else [doc // 7 % shares]
             for at in range(0, max(1, len(data)), CHUNK):
                 part = data[at : at + CHUNK]
-                rows += [(keep, s, at // CHUNK, None if doc == keep else doc, part) for s in to]
+                rows += [(fp, n, s, at // CHUNK, doc == keep, sha, part) for s in to]
                 held += len(part) * len(to)
                 if held > 16 << 20:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -159,16 +172,41 @@ def _member_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From chunks sorted with the kept text's first: the rows that differ from it. One chunk is held."""
+    """From chunks sorted with the kept doc_id's texts first, by digest: the digests of texts that differ from the first. One chunk is held."""
     at, kept = None, None
     for batch in batches:
         odd = []
-        for i, (keep, share, idx, doc) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-            if doc is None:
-                at, kept = (keep, share, idx), batch.column(4)[i].as_py()
-            elif at != (keep, share, idx) or batch.column(4)[i].as_py() != kept:
-                odd.append(doc)
-        yield pa.record_batch([pa.array(odd, pa.int64())], names=["doc_id"])
+        for i, (*key, is_kept, sha) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+            part = batch.column(6)[i].as_py()
+            if is_kept and at != key:
+                at, kept = key, part
+            elif at != key or part != kept:
+                odd.append(sha)
+        yield pa.record_batch([pa.array(odd, pa.string())], names=["text_sha256"])
+
+
+def _groups(docs: DataFrame, huge: int) -> DataFrame:
+    """What exact_groups returns, and ``h``."""
+    prints = fingerprints(docs, huge)
+    key = ["fp", "n_bytes"]
+    groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1")
+    members = prints.join(groups, key).filter("doc_id is not null").select("doc_id", "h", "text_sha256", *key, "keep", "size").dropDuplicates(["doc_id", "h", "text_sha256"])
+    texts = _raw(docs).join(members, ["doc_id", "h"])
+    odd = staged(
+        texts.select("doc_id", "raw", "text_sha256", *key, "keep", "size")
+        .mapInArrow(_member_chunks, CHUNKED)
+        .repartition(*key, "share", "idx")
+        .sortWithinPartitions(*key, "share", "idx", F.col("is_kept").desc(), "text_sha256")
+        .mapInArrow(_differing, "text_sha256 string")
+        .distinct(),
+        "collisions",
+    )
+    if not odd.isEmpty():  # equal fingerprints of different texts: the digest parts them
+        prints = prints.join(few(odd.withColumn("odd", F.lit(True))), "text_sha256", "left").withColumn("other", F.when(F.col("odd"), F.col("text_sha256")).otherwise("")).drop("odd")
+        key = [*key, "other"]
+        groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1")
+    keep = F.coalesce("keep", "doc_id")
+    return prints.join(groups, key, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "h")
 
 
 def exact_groups(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
@@ -184,28 +222,11 @@ def exact_groups(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
     of any size is dealt over shares of SHARE members, each with its own copy of
     the kept text, so no task sees a whole large group.
     """
-    prints = fingerprints(docs, huge)
-    key = ["fp", "n_bytes"]
-    groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1")
-    members = prints.join(groups, key).filter("doc_id is not null").select("doc_id", "keep", "size").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(members, "doc_id")
-    odd = staged(
-        texts.select("doc_id", "raw", "keep", "size")
-        .mapInArrow(_member_chunks, "keep long, share int, idx int, doc_id long, part binary")
-        .repartition("keep", "share", "idx")
-        .sortWithinPartitions("keep", "share", "idx", F.col("doc_id").asc_nulls_first())
-        .mapInArrow(_differing, "doc_id long")
-        .distinct(),
-        "collisions",
-    )
-    if not odd.isEmpty():  # equal fingerprints of different texts: the digest parts them
-        prints = prints.join(odd.withColumn("odd", F.lit(True)), "doc_id", "left").withColumn("other", F.when(F.col("odd"), F.col("text_sha256")).otherwise("")).drop("odd")
-        key = [*key, "other"]
-        groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1")
-    keep = F.coalesce("keep", "doc_id")
-    return prints.join(groups, key, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return _groups(docs, huge).drop("h")
 
 
 def exact_dedup(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return without(docs, exact_groups(docs, huge))
+    """The rows of ``docs`` that stay, with all their columns; rows of one doc_id stay or go by their own text."""
+    gone = _groups(docs, huge).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    gone = few(staged(gone, "gone"), GONE)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")

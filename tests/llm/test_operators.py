@@ -178,6 +178,15 @@ def test_fingerprints_compose_and_collisions_are_told_apart(docs, monkeypatch):
     assert all(r.group_size == size[plain.low(TEXT[r.doc_id])] for r in got)
 
 
+def test_repeated_ids_with_other_texts_are_compared_by_row(spark):
+    for one, two in (("text one", "text two"), ("text one", "another text")):
+        rows = [(5, one), (5, two), (3, one), (9, two), (1, "alone")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
+        assert got == [(1, 1, 1, True), (3, 5, 2, False), (5, 5, 2, True), (5, 9, 2, False), (9, 9, 2, True)]
+        assert sorted(map(tuple, exact_dedup.exact_dedup(df).collect())) == [(1, "alone"), (5, one), (9, two)]
+
+
 def test_near(docs, monkeypatch):
     want = plain.near([(d, t) for d, t in TEXT.items()])
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
