@@ -39,30 +39,54 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _clean() -> None:
     for spark, at in _made:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, at)
         except Exception:  # the session may be gone already
             return
 
 
 atexit.register(_clean)
 
+#: Lets Spark remove a query's shuffle files once the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder once and read it back.
 
     This cuts the lineage as checkpoint() does, but in a columnar form of which
-    later steps read only the columns they need. The files go when the
-    application ends.
+    later steps read only the columns they need. What was shuffled for it is
+    removed at once. The files go with ``release`` or when the application ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, at))
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that no later step reads."""
+    for df in tables:
+        at = getattr(df, "_staged_at", None)
+        if at is not None:
+            _made.remove((df.sparkSession, at))
+            _delete(df.sparkSession, at)
+            df._staged_at = None
 
 
 #: A table of at most so many rows is broadcast where its rows are narrow.
@@ -74,7 +98,7 @@ def few(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def without(docs: DataFrame, judged: DataFrame, most: int = 400_000) -> DataFrame:
+def without(docs: DataFrame, judged: DataFrame, most: int = 200_000) -> DataFrame:
     """The rows of ``docs`` but those whose doc_id no row of ``judged`` keeps. A null doc_id is an id like any other."""
     gone = judged.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("__id"))
     gone = few(staged(gone, "gone"), most)
@@ -115,11 +139,6 @@ def words(text: Column, separators: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), "")
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost matches that do not overlap; an empty array for a null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
-
-
 #: Code points of text on either side that a match carries along.
 CONTEXT = 16
 

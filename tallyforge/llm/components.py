@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import staged
+from tallyforge.llm.common import release, staged
 
 
 def _step(links: DataFrame, large: bool) -> DataFrame:
@@ -31,9 +31,11 @@ def components(links: DataFrame) -> DataFrame:
     now = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     state = None
     while True:
-        now = staged(_step(_step(now, large=True), large=False), "links")
+        last, now = now, staged(_step(_step(now, large=True), large=False), "links")
+        release(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == state:
             break
         state = seen
-    return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+    return staged(out, "components")

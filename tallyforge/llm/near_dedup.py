@@ -6,16 +6,17 @@ each bucket, kept as a count of leading zeros and a few mantissa bits; an empty
 bucket borrows from another by a fixed order. Registers are cut into bands, and
 classes that agree in a band are candidates.
 
-Candidates are never expanded into all pairs of a band's group. Members are first
-compared with the leader they share most bands with. Groups whose members all end
-in one component are done, which settles most of even large ones. In the others,
-the members outside the group's largest component are compared with the rest in
-blocks, registers against registers. The nearest member of each other component
-is confirmed first; what is still open after that is confirmed in full.
-
-A pair is compared in two steps: the Jaccard similarity is estimated from the
-registers, corrected for registers that agree by chance, and what comes near the
-limit is confirmed on the full sets of shingles.
+Candidates are never written out as pairs. They are dealt to blocks, and a block
+is compared twice in its task. First by registers: the Jaccard similarity is
+estimated, corrected for registers that agree by chance, and only members with an
+estimate near the limit go on. Then by full sets: a union-find over the block's
+members takes the pairs that hold, so a block names fewer links than it has
+members.
+
+In the first round a class meets only the leader that it shares most bands with,
+which settles most of even large groups. In the second the members of groups that
+still hold several components are compared: those outside the group's largest
+component with all others of the group.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import few, staged, without
+from tallyforge.llm.common import few, release, staged, without
 from tallyforge.llm.components import components
 
 WORDS = 5
@@ -39,16 +40,14 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: An estimate is let through from so many standard deviations below the limit on.
 DEVIATIONS = 5
-#: Members of a group that are compared in one block.
-BLOCK = 1024
+#: Members of a group that one side of a block holds, and elements of their sets together.
+BLOCK, WEIGHT = 2048, 1 << 20
 #: Members compared with one copy of a leader's set.
-SHARE = 256
-#: Tables of at most so many narrow rows are broadcast, larger ones joined by a shuffle.
-NARROW, WIDE = 400_000, 100_000
+SHARE = 512
+#: Tables of at most so many narrow rows (of under 50 bytes) are broadcast, larger ones joined by a shuffle.
+NARROW = 200_000
 PIECE = 4 << 20
 
-_MASK = (1 << 64) - 1
-
 
 def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,7 +78,7 @@ class Sketcher:
 
             class Hashes(dict):
                 def __missing__(self, word):
-                    if len(self) > 400_000:
+                    if len(self) > 200_000:
                         self.clear()
                     got = self[word] = xxhash.xxh3_64_intdigest(word)
                     return got
@@ -173,9 +172,9 @@ def _bands(sketch: Sketcher):
         s = sketch.start()
         for batch in batches:
             if batch.num_rows:
-                keys = np.concatenate([s.keys(np.frombuffer(x, np.uint16)) for x in batch.column(1).to_pylist()])
-                ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-                yield pa.record_batch([pa.array(keys), pa.array(ids)], names=["key", "id"])
+                keys = np.concatenate([s.keys(np.frombuffer(x, np.uint16)) for x in batch.column(2).to_pylist()])
+                ids, n = (np.repeat(batch.column(k).to_numpy(), BANDS) for k in (0, 1))
+                yield pa.record_batch([pa.array(keys), pa.array(ids), pa.array(n)], names=["key", "id", "n"])
 
     return run
 
@@ -185,134 +184,186 @@ def least_estimate(percent: int) -> float:
     return s - DEVIATIONS * (s * (1 - s) / REGISTERS) ** 0.5
 
 
-def _near(percent: int):
-    """Pairs whose estimate comes near the limit."""
-    least = least_estimate(percent)
+def least_estimate(percent: int) -> float:
+    s = percent / 100
+    return s - DEVIATIONS * (s * (1 - s) / REGISTERS) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[2:]]
-            good = []
-            for i, (n, m, a, b) in enumerate(zip(*cols, strict=True)):
-                # The sizes alone bound the similarity.
-                if 100 * min(n, m) >= percent * max(n, m) and estimate(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), n, m) >= least:
-                    good.append(i)
-            yield pa.record_batch([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
 
-    return run
+#: A member's place in a block: on the side that asks, on the side that is asked, or on both.
+ASKS, ASKED, BOTH = 0, 1, 2
+PLACE = "key long, i int, j int, role int, id long, comp long, outer boolean"
+_PLACE = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("comp", pa.int64()), ("outer", pa.bool_())])
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one block at a time, from rows sorted by block."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[:3] != at:
+                yield rows
+                rows = []
+            at = row[:3]
+            rows.append(row)
+    if rows:
+        yield rows
 
 
-def _in_blocks(percent: int, nearest: bool):
-    """From rows sorted by block and side: near pairs of different components.
+class _Sides:
+    """The two sides of a block as arrays: who asks, and of all asked ones ids, components, sizes, registers."""
 
-    Side 0 holds at most about BLOCK members, which are kept; the others stream by.
-    With ``nearest`` each kept member gives only its nearest one in each component;
-    without, a pair that meets in several groups is named in one of them.
+    def __init__(self, ids: list, comps: list, outer: list, roles: list, sizes: list, regs: np.ndarray) -> None:
+        self.id, self.comp, self.outer = np.array(ids, np.int64), np.array(comps, np.int64), np.array(outer, bool)
+        roles, self.n, self.regs = np.array(roles), np.array(sizes, np.int64), regs
+        self.asks, self.asked = np.flatnonzero(roles != ASKED), np.flatnonzero(roles != ASKS)
+        self.chances = {k: chance(1 << k, 1 << k) for k in np.unique([int(n).bit_length() for n in self.n]).tolist()}
+
+    def candidates(self, x: int, comp: np.ndarray, percent: int) -> np.ndarray:
+        """Of the asked ones those that member x may be linked with, by components and sizes. Two outer members meet once."""
+        y = self.asked
+        n, m = self.n[x], self.n[y]
+        fit = (comp[y] != comp[x]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        return y[fit & (~self.outer[y] | (self.id[y] < self.id[x]))]
+
+    def estimates(self, x: int, y: np.ndarray) -> np.ndarray:
+        c = self.chances[int(self.n[x]).bit_length()]  # sizes of candidates differ by a third at most
+        return ((self.regs[y] == self.regs[x]).sum(axis=1) / REGISTERS - c) / (1 - c)
+
+
+def _flag(sketch: Sketcher, percent: int, star: bool):
+    """From rows sorted by block: the members with an estimate near the limit to one of another component.
+
+    Two members that meet in several groups, which are those of the bands they
+    share, count in the first of them. In a star there is but one group.
     """
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept, best, found, held = None, [], {}, [], 0
-        # The chance for two sets of about n elements; sizes of candidates differ by a third at most.
-        by_size = {k: chance(1 << k, 1 << k) for k in range(64)}
-
-        def out():
-            rows = list(found)
-            for est, x in best.values():
-                hit = est >= 0
-                rows.append((ids[hit], x[hit], est[hit]))
-            best.clear()
-            found.clear()
-            cols = [np.concatenate([r[k] for r in rows]) for k in range(3)]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "est"])
-
-        for batch in batches:
-            for key, i, j, side, x, comp, n, regs, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, i, j):
-                    if best or found:
-                        yield out()
-                    at, kept, table, held = (key, i, j), [], None, 0
-                r = np.frombuffer(regs, np.uint16)
-                if side == 0:
-                    kept.append((x, comp, n, r, set(own)))
-                    continue
-                if not kept:
-                    continue
-                if table is None:
-                    table = np.stack([k[3] for k in kept])
-                    ids, comps, sizes = (np.array([k[c] for k in kept], dtype=np.int64) for c in range(3))
-                c = by_size[n.bit_length()]
-                est = ((table == r).sum(axis=1) / REGISTERS - c) / (1 - c)
-                good = (est >= least) & (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                if not good.any():
-                    continue
-                if nearest:
-                    top, who = best.setdefault(comp, (np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)))
-                    better = good & (est > top)
-                    top[better], who[better] = est[better], x
-                else:  # a pair is named in the first of the open groups that both are in
-                    own = set(own)
-                    first = [k for k in np.flatnonzero(good).tolist() if min(kept[k][4] & own) == key]
-                    found.append((ids[first], np.full(len(first), x), est[first]))
-                    held += len(first)
-                    if held > 200_000:
-                        yield out()
-                        held = 0
-        if best or found:
-            yield out()
+        s, out = sketch.start(), []
+        for rows in _each_block(batches):
+            key, _, _, roles, ids, comps, outer, sizes, blobs = zip(*rows, strict=True)
+            b = _Sides(ids, comps, outer, roles, sizes, np.stack([np.frombuffer(x, np.uint16) for x in blobs]))
+            keys = None if star else np.stack([s.keys(r) for r in b.regs])
+            hit = np.zeros(len(rows), bool)
+            for x in b.asks:
+                y = b.candidates(x, b.comp, percent)
+                if not star and len(y):
+                    same = keys[y] == keys[x]
+                    y = y[keys[x][same.argmax(axis=1)] == key[0]]
+                if len(y):
+                    y = y[b.estimates(x, y) >= least]
+                    hit[y] = True
+                    hit[x] |= len(y) > 0
+            out += [rows[k][:7] for k in np.flatnonzero(hit)]
+            if len(out) > 20_000:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PLACE, strict=True)], schema=_PLACE)
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PLACE, strict=True)], schema=_PLACE)
 
     return run
 
 
 def _sets(sketch: Sketcher):
-    """Rows (doc text, leader, share, kind) to rows with the sorted hashes in place of the text."""
+    """Rows (raw text, place) to rows (place, sorted hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sketch.start()
+        schema = pa.schema([*_PLACE, ("hashes", pa.binary())])
         for batch in batches:
-            last, blob = None, None
-            out, held = [], 0
+            last, blob, blobs, at = None, None, [], 0
             for i in range(batch.num_rows):
-                doc, leader, share, kind = (batch.column(k)[i].as_py() for k in (0, 2, 3, 4))
-                raw = batch.column(1)[i].as_py() or b""
+                raw = batch.column(0)[i].as_py() or b""
                 if last is None or raw != last:
                     last, blob = raw, s.shingles(raw.lower()).tobytes()
-                out.append((leader, share, kind, doc, blob))
-                held += len(blob)
-                if held > 8 << 20 or i + 1 == batch.num_rows:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "share", "kind", "b", "hashes"])
-                    out, held = [], 0
+                blobs.append(blob)
+                if sum(map(len, blobs)) > 8 << 20 or i + 1 == batch.num_rows:
+                    yield pa.record_batch([*(c.slice(at, len(blobs)) for c in batch.columns[1:]), pa.array(blobs, pa.binary())], schema=schema)
+                    blobs, at = [], i + 1
 
     return run
 
 
-def _confirm(percent: int):
-    """From sets sorted with each leader's first: the pairs that hold. One leader's set is held at a time."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
-        for batch in batches:
-            good = []
-            for i, (a, share, kind, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                if at != (a, share):
-                    at, leaders = (a, share), []
-                u = np.frombuffer(batch.column(4)[i].as_py(), np.uint64)
-                if kind == 0:
-                    if not any(np.array_equal(u, x) for x in leaders):  # another text under the same doc_id
-                        leaders.append(u)
-                elif len(u) and any(_alike(x, u, percent) for x in leaders if len(x)):
-                    good.append((a, b))
-            cols = list(zip(*good, strict=True)) or [[], []]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
-    return run
+class _Postings:
+    """Which of a block's sets hold each hash, to count what a set has in common with all of them at once."""
 
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.starts = np.unique(every[order], return_index=True)
+        self.owner, self.ends, self.n = owner[order], np.r_[self.starts[1:], len(every)], len(sets)
 
-def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    at = np.searchsorted(x, y)
-    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    def common(self, x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        at = at[self.hashes[at] == x]
+        out = np.zeros(self.n, np.int64)
+        for part in np.array_split(at, max(1, len(at) // 4096)):
+            lens = self.ends[part] - self.starts[part]
+            src = np.repeat(self.starts[part] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(int(lens.sum()))
+            out += np.bincount(self.owner[src], minlength=self.n)
+        return out
+
+
+#: Pairs of a member that are confirmed one by one, nearest first, before all the others at once.
+TRIES = 6
+
+
+def _confirm(sketch: Sketcher, percent: int):
+    """From sets sorted by block: links that hold on full sets, as many as join the block's components."""
+    least = least_estimate(percent)
+
+    def links_of(s: Sketcher, rows: list[tuple]) -> list[tuple[int, int]]:
+        # An id has a row for each of its rows of the table; equal sets count once.
+        rows = list({(r[4], r[3], r[7]): r for r in rows if r[7]}.values())
+        if len(rows) < 2:
+            return []
+        _, _, _, roles, ids, comps, outer, blobs = zip(*rows, strict=True)
+        sets = [np.frombuffer(x, np.uint64) for x in blobs]
+        b = _Sides(ids, comps, outer, roles, [len(u) for u in sets], np.stack([s.registers(u) for u in sets]))
+        comp, found, postings = b.comp.copy(), [], None
+
+        def join(x: int, y: int) -> None:
+            found.append((int(b.id[x]), int(b.id[y])))
+            comp[comp == comp[y]] = comp[x]
+
+        for x in b.asks:
+            y = b.candidates(x, comp, percent)
+            if not len(y):
+                continue
+            est = b.estimates(x, y)
+            y = y[np.argsort(-est, kind="stable")][: int((est >= least).sum())]
+            for k in range(TRIES):
+                if k >= len(y):
+                    break
+                both = _common(sets[x], sets[y[k]])
+                if comp[y[k]] != comp[x] and 100 * both >= percent * (len(sets[x]) + len(sets[y[k]]) - both):
+                    join(x, y[k])
+            y = y[TRIES:]
+            y = y[comp[y] != comp[x]]
+            if len(y):
+                postings = postings or _Postings(sets)
+                both = postings.common(sets[x])[y]
+                for k in y[100 * both >= percent * (b.n[x] + b.n[y] - both)]:
+                    if comp[k] != comp[x]:
+                        join(x, k)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, out = sketch.start(), []
+        for rows in _each_block(batches):
+            out += links_of(s, rows)
+            if len(out) > 50_000:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
 
 
 class _Search:
@@ -330,84 +381,96 @@ class _Search:
         first = marked.filter("rep = doc_id").dropDuplicates(["doc_id", "digest"])
         self.reps = staged(alone.unionByName(first).select(F.col("doc_id").alias("id"), "n", "regs"), "near-reps")
 
+    def same_id(self) -> DataFrame | None:
+        """Links between the classes that one doc_id is in; None if each id is in one."""
+        of = self.signed.filter("n > 0 and doc_id is not null").select("doc_id", "digest")
+        many = staged(of.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high").select("doc_id"), "near-many")
+        if many.isEmpty():
+            return None
+        reps = of.join(few(many, NARROW), "doc_id").distinct().join(self.classes, "digest").select("doc_id", "rep")
+        # Each class of an id is linked with the id, and so with the others.
+        return staged(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct(), "near-same")
+
     def groups(self) -> DataFrame:
-        """Rows (key, id, leader) of the bands' keys that two classes or more have."""
-        rows = self.reps.select("id", "regs").mapInArrow(_bands(self.sketch), "key long, id long")
+        """Rows (key, id, n, leader) of the bands' keys that two classes or more have."""
+        rows = self.reps.select("id", "n", "regs").mapInArrow(_bands(self.sketch), "key long, id long, n long")
         sums = staged(rows.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-keys")
-        return staged(rows.join(few(sums.select("key", "leader"), NARROW), "key"), "near-groups")
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that hold on full sets."""
-        counts = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")), "near-shares")
-        of = pairs.join(few(counts, NARROW), "a").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"))
-        heads = counts.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"))
-        asked = staged(heads.unionByName(of), "near-asked")
-        sets = self.raw.join(few(asked, NARROW), "doc_id").select("doc_id", "raw", "leader", "share", "kind").mapInArrow(_sets(self.sketch), "a long, share int, kind int, b long, hashes binary")
-        return staged(sets.repartition("a", "share").sortWithinPartitions("a", "share", "kind").mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "near-links")
-
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose estimate comes near the limit."""
-        one = self.reps.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("regs").alias("r1"))
-        two = self.reps.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("regs").alias("r2"))
-        half = staged(one.join(few(pairs, NARROW), "a"), "near-half")
-        whole = two.join(few(half, WIDE), "b").select("a", "b", "n1", "n2", "r1", "r2")
-        return staged(whole.mapInArrow(_near(self.percent), "a long, b long").distinct(), "near-pairs")
+        out = staged(rows.join(few(sums.select("key", "leader"), NARROW), "key"), "near-groups")
+        release(sums)
+        return out
+
+    def compared(self, dealt: DataFrame, star: bool) -> DataFrame:
+        """Links (a, b) that join the components of the members dealt to each block (PLACE)."""
+        dealt = staged(dealt, "near-dealt")
+        place = [c.split()[0] for c in PLACE.split(", ")]
+        block, within = ["key", "i", "j"], ["key", "i", "j", "role", "id"]
+        regs = self.reps.join(few(dealt, NARROW), "id").select(*place, "n", "regs")
+        near = staged(regs.repartition(*block).sortWithinPartitions(*within).mapInArrow(_flag(self.sketch, self.percent, star), PLACE), "near-flagged")
+        texts = self.raw.withColumnRenamed("doc_id", "id").join(few(near, NARROW), "id").select("raw", *place)
+        sets = texts.mapInArrow(_sets(self.sketch), f"{PLACE}, hashes binary")
+        links = staged(sets.repartition(*block).sortWithinPartitions(*within).mapInArrow(_confirm(self.sketch, self.percent), "a long, b long"), "near-links")
+        release(dealt, near)
+        return links
 
     def links(self) -> DataFrame:
         """(id, comp) of all classes that are linked with another."""
-        found = self.groups()
-        by_leader = found.filter("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
-        best = by_leader.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("m"))).alias("x"))
-        tried = self.estimated(staged(best.select((-F.col("x.m")).alias("a"), F.col("id").alias("b")), "near-best"))
-        links = self.confirm(tried)
-        comps = staged(components(links), "near-components")
-        for nearest in (True, False):
-            open_rows = self._open(found, comps)
-            if open_rows.isEmpty():
-                break
-            known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = self._across(open_rows, nearest).join(few(known, NARROW), ["a", "b"], "left_anti")
-            pairs = staged(pairs, "near-rest")
-            if pairs.isEmpty():
-                continue
-            tried = staged(known.unionByName(pairs), "near-tried")
-            links = staged(links.unionByName(self.confirm(pairs)), "near-links-all")
-            comps = staged(components(links), "near-components")
+        found, same = self.groups(), self.same_id()
+        links = self.compared(self._star(found), star=True)
+        if same is not None:
+            links = links.unionByName(same)
+        comps = components(links)
+        rows = self._open(found, comps)
+        if not rows.isEmpty():
+            more = self.compared(self._blocks(rows), star=False)
+            if not more.isEmpty():
+                # A component's members keep it as their link; the new links join components.
+                comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+        release(found, rows)
         return comps
 
+    def _star(self, found: DataFrame) -> DataFrame:
+        """Each class with the leader that it shares most bands with; a leader's members are dealt to shares."""
+        by_leader = found.filter("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
+        best = by_leader.groupBy("id").agg((-F.max(F.struct("n", (-F.col("leader")).alias("m")))["m"]).alias("key"))
+        best = staged(best.select("key", "id"), "near-best")
+        counts = best.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+        row = lambda i, role, id_: (F.col("key"), i.cast("int").alias("i"), F.lit(0).alias("j"), F.lit(role).alias("role"), id_.alias("id"), id_.alias("comp"), F.lit(role == ASKS).alias("outer"))
+        counts = staged(counts, "near-shares")
+        members = best.join(few(counts, NARROW), "key").select(*row(F.pmod(F.xxhash64("id"), F.col("shares")), ASKS, F.col("id")))
+        # A leader is asked; that it has not the role of an outer member lets all others ask it.
+        heads = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(*row(F.col("i"), ASKED, F.col("key")))
+        return members.unionByName(heads)
+
     def _open(self, found: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows (key, id, comp) of groups that hold more than one component; of groups with equal members one."""
-        now = staged(found.select("key", "id").join(few(comps, NARROW), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-now")
-        keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"))
-        keys = staged(keys.filter("low != high").groupBy("mark").agg(F.min("key").alias("key")).select("key"), "near-open-keys")
-        return staged(now.join(few(keys, NARROW), "key", "left_semi"), "near-open")
-
-    def _across(self, rows: DataFrame, nearest: bool) -> DataFrame:
-        """Near pairs of different components in one group, by comparing registers in blocks.
-
-        Of the two members one is always outside the group's largest component.
-        These meet all members in blocks; a block's two sides are bounded, and the
-        rows sent grow with the members times the blocks of the outer ones.
+        """Rows (key, id, n, comp) of groups that hold more than one component."""
+        now = staged(found.select("key", "id", "n").join(few(comps, NARROW), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-now")
+        keys = staged(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key"), "near-open-keys")
+        out = staged(now.join(few(keys, NARROW), "key", "left_semi"), "near-open")
+        release(now, keys)
+        return out
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Members of open groups in blocks.
+
+        Of two members of different components one is always outside the group's
+        largest. These outer members meet all members; a block's two sides are
+        bounded in members and in elements of their sets. The rows sent grow with
+        the members times the blocks of the outer ones.
         """
-        parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.sum("n").alias("size"), F.max("n").alias("top"))
-        keys = staged(keys.select("key", "largest", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int").alias("outer")), "near-blocks")
-        all_rows = rows.join(few(keys, NARROW), "key")
+        parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("m", "comp", "weight")).alias("top"), F.sum("m").alias("size"), F.sum("weight").alias("weight"))
+        of = lambda size, weight: F.ceil(F.greatest(size / BLOCK, weight / WEIGHT, F.lit(1e-9))).cast("int")
+        all_blocks, outer_blocks = of(F.col("size"), F.col("weight")), of(F.col("size") - F.col("top.m"), F.col("weight") - F.col("top.weight"))
+        keys = staged(keys.select("key", F.col("top.comp").alias("largest"), all_blocks.alias("blocks"), outer_blocks.alias("outers")), "near-blocks")
+        every = rows.join(few(keys, NARROW), "key").withColumn("outer", F.col("comp") != F.col("largest"))
         deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        outer = all_rows.filter("comp != largest").select("key", "id", "comp", deal("outer").alias("i"), copies("blocks").alias("j"), F.lit(0).alias("side"))
-        every = all_rows.select("key", "id", "comp", deal("blocks").alias("j"), copies("outer").alias("i"), F.lit(1).alias("side"))
-        dealt = staged(outer.unionByName(every), "near-dealt")
-        # A member's open groups, one for each band at most.
-        own = staged(rows.groupBy("id").agg(F.collect_set("key").alias("own")), "near-own")
-        regs = self.reps.join(few(own, WIDE), "id")
-        with_regs = regs.join(few(dealt, NARROW), "id").select("key", "i", "j", "side", "id", "comp", "n", "regs", "own")
-        pairs = with_regs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_in_blocks(self.percent, nearest), "a long, b long, est double")
-        pairs = staged(pairs, "near-across")
-        if nearest:  # over all groups and blocks: the nearest in each other component
-            comp = rows.select(F.col("id").alias("b"), F.col("comp").alias("cb")).distinct()
-            pairs = pairs.join(few(comp, NARROW), "b").groupBy("a", "cb").agg(F.max(F.struct("est", "b"))["b"].alias("b"))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        row = lambda i, j, role: (F.col("key"), i.alias("i"), j.alias("j"), role.alias("role"), F.col("id"), F.col("comp"), F.col("outer"))
+        one = every.filter("blocks = 1").select(*row(F.lit(0), F.lit(0), F.when(F.col("outer"), BOTH).otherwise(ASKED)))
+        many = every.filter("blocks > 1")
+        asks = many.filter("outer").select(*row(deal("outers"), copies("blocks"), F.lit(ASKS)))
+        asked = many.select(*row(copies("outers"), deal("blocks"), F.lit(ASKED)))
+        return one.unionByName(asks).unionByName(asked)
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

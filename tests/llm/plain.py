@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,6 +99,24 @@ def near(rows, percent=75):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
+def near_all(rows, percent=75):
+    """As ``near``, by comparing every two sets, for tables where most documents share shingles."""
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for d, w in ((d, t.split()) for d, t in rows)}
+    names = {g: k for k, g in enumerate(sorted({g for s in sets.values() for g in s}))}
+    have = np.zeros((len(sets), len(names)), np.float32)
+    for k, s in enumerate(sets.values()):
+        have[k, [names[g] for g in s]] = 1
+    both, size = have @ have.T, have.sum(axis=1)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    comp = np.arange(len(sets))
+    while True:
+        least = np.where(linked, comp[None, :], len(sets)).min(axis=1)
+        if (least == comp).all():
+            ids = list(sets)
+            return {d: (len(sets[d]), ids[comp[k]]) for k, d in enumerate(ids)}
+        comp = least
+
+
 def katz(rows, least=2, k=5):
     """doc_id -> what op6 returns, with the backoff evaluated recursively for each token."""
     tokens = lambda t: [*low(t).encode().split(), None]
