@@ -1,25 +1,32 @@
-"""Language-model scores by Katz backoff over word pairs.
-
-Counts of words and of pairs of words are aggregated over all training texts and
-stored as tables. Counts up to five are discounted after Good and Turing; what the
-discounts leave goes to the words that did not follow a word, in proportion to
-their own probability, with weights that make each distribution sum to one.
-
-P(w | v) is the discounted share of the pair if the table has it, else
-backoff(v) * P(w). Its logarithm is summed in this form:
-
-    log backoff(v) + log P(w) + gain(v, w),
-
-where the gain is what a stored pair adds over backing off, and 0 for any other.
-So each token asks the table of words, and each pair the table of pairs. The most
-common words and pairs, tables of fixed size, are broadcast and asked where the
-text is; the rest travel as rows to the stored tables. A filter of fixed size
-holds back most pairs that the table lacks; it lets no stored one be missed.
+"""Language-model scores by Katz backoff over n-grams of words, by default up to three.
+
+Counts are discounted after Good and Turing up to DISCOUNTED; what the discounts
+leave goes to the words that did not follow a history, in proportion to their
+probability after the next shorter history, with weights that make each
+distribution sum to one:
+
+    P(w | h) = scale(h) * d(c) * c(h w) / c(h)    if the n-gram h w is stored,
+               backoff(h) * P(w | shorter h)      if not.
+
+Texts are cut into blocks of about BLOCK tokens, kept as ranks of words. A block
+sends the distinct n-grams of one order with their counts in it, packed by hash
+bucket. A bucket sums the counts of equal n-grams and answers each block what the
+sums are; so one exchange both counts an order and tells all texts the counts that
+they need. The sums over a history, for its weight, come from a second exchange of
+the same kind, to which each block adds its part. Tables of each order's counts and
+sums are written to the shared folder, dealt by block; every token then is scored
+by the recursion above where its text is.
+
+An n-gram can only be in one block if the shorter one at its start or end is. So
+those are counted where they are, and most long n-grams never travel.
+
+Words and n-grams are known by 64 bits of their hash. Two that agree by chance count
+as one, in ``n_known`` and ``base_score`` too: among 10^8 of them there is such a
+pair with a chance of 1 in 4000.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,25 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import most_common, staged
+from tallyforge.llm.blocks import bucket_ends, mixed, narrow, pack, partition, record_batch, runs, unpack
+from tallyforge.llm.common import staged
 
-#: Words and pairs that are broadcast, the most common ones.
-FREQUENT = 1 << 18
-FREQUENT_PAIRS = 1 << 20
-#: Unless told otherwise a model leaves pairs seen less often to the backoff, as Katz proposed for those seen once.
-#: The query op6 stores all pairs.
-LEAST = 2
-#: Pairs that are handed on at once.
-HANDED = 1 << 16
+#: Words of the longest n-grams, and how often an n-gram must be seen to be stored.
+ORDER, LEAST = 3, 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-#: Ids of the end and the start of a text; common words have ids from 1, others negative ones.
-END, START = FREQUENT + 1, FREQUENT + 2
-#: Words and pairs that a task counts before it hands them on.
-HELD_WORDS, HELD_PAIRS = 200_000, 1_000_000
+#: Tokens of a block, and of all blocks for each bucket.
+BLOCK, PER_BUCKET = 1 << 19, 1 << 20
+BUCKETS = 32
 PIECE = 4 << 20
-#: Parts of the filter, and bits in each.
-PARTS, BITS = 1024, 1 << 17
+#: Hashes of the end and of the start of a text; no word has them but by chance.
+END, START = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,170 +67,49 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64 bits for a pair of ids."""
-    return _mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mix(b.view(np.uint64)))
-
-
-def rare_id(word: bytes) -> int:
-    """The negative id of a word that is not among the common ones: 62 bits of a hash."""
-    import xxhash
-
-    return -1 - (xxhash.xxh3_64_intdigest(word) >> 2)
-
-
-class Words:
-    """The broadcast common words, most common first."""
-
-    def __init__(self, words: pa.Array, counts: np.ndarray) -> None:
-        self.words, self.counts, self.ids = words, counts, None
-
-    def __getstate__(self):
-        return self.words, self.counts
-
-    def __setstate__(self, state):
-        (self.words, self.counts), self.ids = state, None
-
-    def start(self) -> Words:
-        if self.ids is None:
-
-            class Ids(dict):
-                def __missing__(self, word):
-                    if len(self) > 2 * FREQUENT:
-                        for w in list(self)[FREQUENT:]:
-                            del self[w]
-                    got = self[word] = rare_id(word)
-                    return got
-
-            self.ids = Ids(zip(self.words.to_pylist(), range(1, len(self.words) + 1), strict=True))
-        return self
+#: A block's own row has step 0; what it is told later comes under the step and kind of what it asked.
+STATE, COUNTS, SUMS, TOLD = 0, 0, 1, 2
+_BLOCK = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("what", pa.binary()), ("n_tokens", pa.int64()), ("n_train", pa.int64())])
+_ASKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("what", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_ANSWER = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("what", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def of(self, data: bytes) -> np.ndarray:
-        parts = [np.fromiter(map(self.ids.__getitem__, ws), np.int64, len(ws)) for ws in _words(data)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
-
-    def out():
-        return pa.record_batch([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for raw in batch.column(0):
-            for ws in _words(raw.as_py() or b""):
-                held.update(ws)
-            if len(held) > HELD_WORDS:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first, as that compresses well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _count_pairs(shared, buckets: int):
-    """Pairs of ids with counts, packed by bucket: pairs of common words as sorted differences, others as they are."""
+def _cut(size: int):
+    """Rows (doc_id, held, raw) to blocks of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        import xxhash
 
-        words, pack = shared.value.start(), zstandard.ZstdCompressor(level=1).compress
-        held, n = [], 0
+        at, n = partition(), 0
+        docs, held, lens, places, known = [], [], [], [], {}
 
         def out():
-            a = np.concatenate([x[0] for x in held])
-            b = np.concatenate([x[1] for x in held])
-            common = (a > 0) & (b > 0)
-            key, counts = np.unique(a[common] << 20 | b[common], return_counts=True)
-            where = (pair_key(key >> 20, key & 0xFFFFF) % np.uint64(buckets)).astype(np.int64)
-            a, b = a[~common], b[~common]
-            hashed, at, more = np.unique(pair_key(a, b), return_index=True, return_counts=True)
-            a, b, where2 = a[at], b[at], (hashed % np.uint64(buckets)).astype(np.int64)
-            order, order2 = np.argsort(where, kind="stable"), np.argsort(where2, kind="stable")
-            ends, ends2 = (np.searchsorted(w[o], np.arange(buckets + 1)) for w, o in ((where, order), (where2, order2)))
-            rows = []
-            for k in range(buckets):
-                x, y = order[ends[k] : ends[k + 1]], order2[ends2[k] : ends2[k + 1]]
-                if len(x) or len(y):
-                    parts = [np.diff(key[x], prepend=0), counts[x].astype(np.int32), a[y], b[y], more[y].astype(np.int32)]
-                    rows.append((k, *(pack(_planes(v)) if len(v) else b"" for v in parts)))
-            cols = zip(zip(*rows, strict=True), PACKED, strict=True)
-            return pa.record_batch([pa.array(c, pa.int32() if f == "bucket int" else pa.binary()) for c, f in cols], names=[f.split()[0] for f in PACKED])
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+            unique, rank = np.unique(hashes, return_inverse=True)
+            words = rank[np.concatenate(places)] if places else np.zeros(0, np.int64)
+            what = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(held, "|u1"), np.array(lens, "<i8"), unique.astype("<u8"), narrow(words))
+            return record_batch([(at << 32 | n, STATE, 0, 0, what, sum(lens) + len(lens), held.count(False))], _BLOCK)
 
+        total = 0
         for batch in batches:
-            for raw in batch.column(0):
-                ids = words.of(raw.as_py() or b"")
-                held.append((np.r_[START, ids], np.r_[ids, END]))
-                n += len(ids) + 1
-                if n > HELD_PAIRS:
+            for doc, out_of, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                got = [np.fromiter([known.setdefault(w, len(known)) for w in ws], np.int64, len(ws)) for ws in _words(raw.as_py() or b"")]
+                docs.append(doc)
+                held.append(out_of)
+                lens.append(sum(map(len, got)))
+                places += got
+                total += lens[-1] + 1
+                if total >= size:
                     yield out()
-                    held, n = [], 0
-        if held:
+                    n, total = n + 1, 0
+                    docs, held, lens, places, known = [], [], [], [], {}
+        if docs:
             yield out()
 
     return run
 
 
-PACKED = ("bucket int", "step binary", "n binary", "a binary", "b binary", "m binary")
-
-
-def _sum_pairs(least: int):
-    """From rows sorted by bucket: pairs of the bucket seen ``least`` times or more with their sums, and how many pairs have each low count.
-
-    One bucket is held at a time; buckets grow in number with the partitions.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        at, held = None, []
-
-        def out():
-            step, n, a, b, m = (np.concatenate([x[k] for x in held]) for k in range(5))
-            key, back = np.unique(step, return_inverse=True)
-            sums = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
-            _, first, back2 = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
-            sums2 = np.bincount(back2, weights=m, minlength=len(first)).astype(np.int64)
-            all_a, all_b, all_n = np.r_[key >> 20, a[first]], np.r_[key & 0xFFFFF, b[first]], np.r_[sums, sums2]
-            low = np.array([int((all_n == r).sum()) for r in range(1, DISCOUNTED + 2)])
-            keep = np.flatnonzero(all_n >= least)
-            none = pa.nulls(len(low), pa.int64())
-            names = ["a", "b", "n", "r"]
-            for start in range(0, len(keep), HANDED):
-                k = keep[start : start + HANDED]
-                yield pa.record_batch([pa.array(all_a[k]), pa.array(all_b[k]), pa.array(all_n[k]), pa.nulls(len(k), pa.int32())], names=names)
-            yield pa.record_batch([none, none, pa.array(low), pa.array(range(1, DISCOUNTED + 2), pa.int32())], names=names)
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at is not None and at != row[0]:
-                    yield from out()
-                    held = []
-                at = row[0]
-                v = [_from_planes(unpack(x), kind) if x else np.zeros(0, kind) for x, kind in zip(row[1:], ("<i8", "<i4", "<i8", "<i8", "<i4"), strict=True)]
-                held.append((np.cumsum(v[0]), *v[1:]))
-        if held:
-            yield from out()
-
-    return run
-
-
 def discounts(n_of: dict[int, int]) -> list[float]:
     """Good-Turing discounts of the counts 1 to DISCOUNTED, in Katz's form; half a count off where that fails."""
     k = DISCOUNTED
@@ -242,247 +122,286 @@ def discounts(n_of: dict[int, int]) -> list[float]:
     return out
 
 
-class Single:
-    """Probabilities of words without a history, and of an unknown word."""
-
-    def __init__(self, total: int, n_of: dict[int, int]) -> None:
-        self.total, self.d = total, discounts(n_of)
-        left = sum((1 - self.d[r]) * r * n_of.get(r, 0) for r in range(1, DISCOUNTED + 1)) / total if total else 1.0
-        # Without rare words nothing is discounted; then an unknown word gets one count.
-        self.scale = 1.0 if left > 0 else total / (total + 1)
-        self.unknown = left if left > 0 else 1 / (total + 1)
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        d = np.array([*self.d, 1.0])[np.minimum(n, DISCOUNTED + 1)]
-        return d * n * self.scale / max(self.total, 1)
+class Facts:
+    """What all tasks know: totals, and the discounts of each order as they become known. A few numbers."""
+
+    def __init__(self, n_docs: int, order: int, least: int, buckets: int) -> None:
+        self.n_docs, self.order, self.least, self.buckets = n_docs, order, least, buckets
+        self.d: dict[int, list[float]] = {}
+        self.total = self.kinds = 0
+        self.scale = self.unknown = 0.0
+
+    def learn(self, n: int, stats: list[int]) -> None:
+        """From how many n-grams have the counts 1 to DISCOUNTED + 1, how many there are, and how often."""
+        n_of = Counter({r: stats[r - 1] for r in range(1, DISCOUNTED + 2)})
+        if n == 1:
+            if self.n_docs:
+                n_of[self.n_docs] += 1  # the end of a text is a word too
+            self.kinds, self.total = stats[-2] + (self.n_docs > 0), stats[-1] + self.n_docs
+        self.d[n] = discounts(n_of)
+        if n == 1:
+            left = sum((1 - self.d[1][r]) * r * n_of.get(r, 0) for r in range(1, DISCOUNTED + 1)) / self.total if self.total else 1.0
+            # Without rare words nothing is discounted; then an unknown word gets one count.
+            self.scale, self.unknown = (1.0, left) if left > 0 else (self.total / (self.total + 1), 1 / (self.total + 1))
+
+    def discounted(self, n: int, count: np.ndarray) -> np.ndarray:
+        return np.array([*self.d[n], 1.0])[np.minimum(count, DISCOUNTED + 1)] * count
+
+
+class _Grams:
+    """The distinct n-grams of one order in a block, sorted by key."""
+
+    __slots__ = ("asked", "at", "count", "first", "here", "keys", "sole")
+
+
+class _Block:
+    """A block's tokens, to which the counts of each order and the sums of each history are added as they are told."""
+
+    def __init__(self, raw: bytes, facts: Facts) -> None:
+        self.facts = facts
+        self.docs, self.no_id, self.held, self.lens, self.words, idx = unpack(raw)
+        self.held = self.held.astype(bool)
+        ends = np.cumsum(self.lens + 1)
+        self.begins = ends - self.lens - 1
+        n = int(ends[-1])
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens + 1)
+        self.place = np.arange(n) - self.begins[self.doc]  # 0 is the first word, whose history is the start alone
+        self.token = np.full(n, len(self.words), np.int64)
+        is_word = np.ones(n, bool)
+        is_word[ends - 1] = False
+        self.token[is_word] = idx
+        self.train = ~self.held[self.doc]
+        self.grams: dict[int, _Grams] = {}
+        self.p: np.ndarray | None = None
+
+    def find(self, n: int) -> _Grams:
+        """The n-grams of one order and their counts in this block's training texts. Those that other blocks may have are asked."""
+        g = self.grams[n] = _Grams()
+        if n == 1:
+            g.keys, g.at = self.words, self.token  # the end is one past the words
+            g.asked = np.ones(len(g.keys), bool)
+            g.here = np.bincount(g.at, weights=self.train, minlength=len(g.keys) + 1).astype(np.int64)[:-1]
+            return g
+        low = self.grams[n - 1]
+        hash_of = np.r_[self.words, np.uint64(END)][self.token]
+        before = np.r_[np.uint64(0), self._key_by_token(n - 1)[:-1]]
+        if n == 2:
+            before[self.begins] = START
+        has = self.place >= n - 2
+        g.keys, g.first, at = np.unique(mixed(before[has] * np.uint64(0x9E3779B97F4A7C15) + mixed(hash_of[has])), return_index=True, return_inverse=True)
+        g.at = np.full(len(has), -1, np.int64)
+        g.at[has] = at
+        g.first = np.flatnonzero(has)[g.first]
+        g.here = np.bincount(at, weights=self.train[has], minlength=len(g.keys)).astype(np.int64)
+        # Of an n-gram that is here alone the longer ones are, too.
+        sole = np.r_[low.sole, False, False]  # the end and the start are everywhere
+        g.asked = ~sole[low.at[g.first]] & ~sole[self.history(n)[g.first]]
+        return g
+
+    def _key_by_token(self, n: int) -> np.ndarray:
+        g = self.grams[n]
+        return np.r_[g.keys, np.uint64(END)][g.at]
+
+    def history(self, n: int) -> np.ndarray:
+        """Of each token the rank of its history among the (n-1)-grams; the start comes two past the last."""
+        low = self.grams[n - 1]
+        out = np.r_[0, low.at[:-1]]
+        if n == 2:
+            out[self.begins] = len(low.keys) + 1
+        return out
+
+    def told(self, n: int, answer: np.ndarray) -> None:
+        """Adds the counts over all training texts."""
+        g = self.grams[n]
+        g.count, g.sole = g.here.copy(), np.ones(len(g.keys), bool)
+        g.count[g.asked], g.sole[g.asked] = answer >> 1, (answer & 1).astype(bool)
+        if n == 1:
+            f = self.facts
+            c = np.r_[g.count, f.n_docs]
+            p = f.discounted(1, c) * f.scale / max(f.total, 1)
+            self.p = np.where(c > 0, p, f.unknown)[g.at]
+
+    def stored(self, n: int) -> np.ndarray:
+        """The tokens whose n-gram is stored."""
+        g = self.grams[n]
+        return (g.at >= 0) & (np.r_[g.count, 0][g.at] >= self.facts.least)
+
+    def sums(self, n: int) -> tuple[np.ndarray, ...]:
+        """Of each history its key, this block's part of two sums over the n-grams stored for it, and whether it is asked.
+
+        The sums are of discounted counts and of the words' probabilities after the
+        shorter history. A block's part of an n-gram is its share of the count.
+        """
+        g, low = self.grams[n], self.grams[n - 1]
+        rank = self.history(n)[g.first]
+        part = np.where(g.count >= self.facts.least, g.here / np.maximum(g.count, 1), 0.0)
+        size = len(low.keys) + 2
+        share = np.bincount(rank, weights=part * self.facts.discounted(n, g.count), minlength=size)
+        lower = np.bincount(rank, weights=part * self.p[g.first], minlength=size)
+        used = np.flatnonzero(np.bincount(rank, minlength=size))
+        keys = np.r_[low.keys, np.uint64(END), np.uint64(START)][used]
+        order = np.argsort(keys, kind="stable")
+        used, keys = used[order], keys[order]
+        return used, keys, share[used], lower[used], ~np.r_[low.sole, False, False][used]
+
+    def weigh(self, n: int, answer: list[np.ndarray]) -> None:
+        """Goes from the probabilities after n-2 words to those after n-1."""
+        g, low, f = self.grams[n], self.grams[n - 1], self.facts
+        used, _, share, lower, asked = self.sums(n)
+        share[asked], lower[asked] = answer
+        c = np.r_[low.count, 0, f.n_docs][used].astype(float)
+        s = share / np.maximum(c, 1)
+        # A history that was always followed by stored n-grams keeps one count for the rest.
+        kept = np.minimum(s, c / (c + 1))
+        some = s > 0
+        back, scale = np.ones(len(low.keys) + 2), np.ones(len(low.keys) + 2)
+        back[used] = np.where(some, (1 - kept) / np.maximum(1 - lower, 1e-12), 1.0)
+        scale[used] = np.where(some, kept / np.maximum(s, 1e-300), 1.0)
+        h, has, hit = self.history(n), g.at >= 0, self.stored(n)
+        c_all = np.r_[low.count, 0, f.n_docs]
+        p = self.p.copy()
+        p[has] *= back[h[has]]
+        p[hit] = scale[h[hit]] * f.discounted(n, g.count)[g.at[hit]] / c_all[h[hit]]
+        self.p = p
+
+
+def _join(rows: list[tuple]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """The answers of each step and kind; a block's buckets are in order and so are its keys."""
+    out: dict[tuple[int, int], list] = {}
+    for _, step, kind, _, what, *_ in rows:
+        out.setdefault((step, kind), []).append(unpack(what))
+    return {k: [np.concatenate(x) for x in zip(*v, strict=True)] for k, v in out.items()}
+
+
+def _told_block(rows: list[tuple], facts: Facts, step: int) -> _Block:
+    """A block with all that it was told before ``step``."""
+    got = _join(rows[1:])
+    b = _Block(rows[0][4], facts)
+    for n in range(1, min(step, facts.order + 1)):
+        b.find(n)
+        b.told(n, *got.get((n, COUNTS), [np.zeros(0, np.uint64)]))
+    for n in range(2, step - 1):
+        b.weigh(n, got.get((n + 1, SUMS), [np.zeros(0)] * 2))
+    return b
+
+
+def _ask(facts: Facts, step: int):
+    """From blocks with what they were told: what they ask in this step, counts of one order and sums of the order below."""
 
-    def column(self, n: Column) -> Column:
-        return _discounted(n, self.d) * self.scale / float(max(self.total, 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 1):
+            b, block, out = _told_block(rows, facts, step), rows[0][0], []
+
+            def deal(kind, keys, *values):
+                ends = bucket_ends(keys, facts.buckets)  # noqa: B023
+                for k, (i, j) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+                    if j > i:
+                        out.append((k, kind, block, pack(keys[i:j], *(v[i:j] for v in values)), None))  # noqa: B023
+
+            if step <= facts.order:
+                g = b.find(step)
+                deal(COUNTS, g.keys[g.asked], g.here[g.asked].astype("<u4" if not len(g.here) or g.here.max() < 1 << 32 else "<u8"))
+                alone = g.here[~g.asked]
+                out.append((block % facts.buckets, TOLD, block, None, _stats(alone)))
+            if step > 2:
+                _, keys, share, lower, asked = b.sums(step - 1)
+                deal(SUMS, keys[asked], share[asked], lower[asked])
+            if out:
+                yield record_batch(out, _ASKED)
 
+    return run
 
-def _discounted(n: Column, d: list[float]) -> Column:
-    cases = F.when(n == 1, F.lit(d[1]))
-    for r in range(2, DISCOUNTED + 1):
-        cases = cases.when(n == r, F.lit(d[r]))
-    return cases.otherwise(F.lit(1.0)) * n
 
+def _stats(count: np.ndarray) -> list[int]:
+    low = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
+    return [*low[1 : DISCOUNTED + 2].tolist(), int((count > 0).sum()), int(count.sum())]
 
-def _looked_up(table: np.ndarray):
-    """Adds to rows (a, b, ...) the value of ``a`` or of ``b`` from an array by id, null for negative ids."""
 
-    def run(shared, column: int):
-        def each(batches):
-            values = shared.value
-            for batch in batches:
-                ids = batch.column(column).to_numpy()
-                known = ids > 0
-                got = values[np.where(known, ids, 0)]
-                yield pa.record_batch([*batch.columns, pa.array(got, mask=~known)], names=[*batch.schema.names, "value"])
+def _answer(step: int):
+    """From what is asked, sorted by bucket and kind: the answers to each block. One bucket is held at a time."""
 
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 2):
+            bucket, kind = rows[0][:2]
+            if kind == TOLD:
+                yield record_batch([(None, step, kind, bucket, None, [sum(x) for x in zip(*(r[4] for r in rows), strict=True)])], _ANSWER)
+                continue
+            got = [unpack(r[3]) for r in rows]
+            ends = np.cumsum([len(x[0]) for x in got])
+            keys, rank, asking = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True, return_counts=True)
+            sums = [np.bincount(rank, weights=np.concatenate([x[k] for x in got]), minlength=len(keys)) for k in range(1, len(got[0]))]
+            stats = None
+            if kind == COUNTS:
+                total = sums[0].astype(np.int64)
+                values, stats = [(total << 1 | (asking == 1)).astype("<u8")], _stats(total)
+            else:
+                values = sums
+            out = []
+            for k, (i, j) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+                out.append((rows[k][2], step, kind, bucket, pack(*(v[rank[i:j]] for v in values)), stats if k == 0 else None))
+                if len(out) == 64:
+                    yield record_batch(out, _ANSWER)
+                    out = []
+            if out:
+                yield record_batch(out, _ANSWER)
 
     return run
 
 
-def _with_value(df: DataFrame, key: str, name: str, table: np.ndarray, rest: DataFrame, default: float | None = None) -> DataFrame:
-    """``df`` with the value of each row's id ``key``: of common ids from an array, of others by a join with ``rest`` (id, value).
+def _score(facts: Facts):
+    """From blocks with all that they were told: a row for each document."""
 
-    A hot id is always a common one, so the join has no hot keys. With a default
-    the values of ids that ``rest`` lacks, else no such row is left.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(table)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    near = df.filter(F.col(key) > 0).mapInArrow(_looked_up(table)(shared, df.columns.index(key)), f"{kinds}, value double")
-    far = df.filter(F.col(key) <= 0).join(rest.select(F.col("id").alias(key), "value"), key, "inner" if default is None else "left")
-    far = far.withColumn("value", F.coalesce("value", F.lit(default).cast("double")))
-    return near.unionByName(far).withColumnRenamed("value", name)
-
-
-class Model:
-    """Counts, backoff weights and gains, learned from the texts of ``docs`` that are not held out."""
-
-    def __init__(self, docs: DataFrame, least: int | None = None) -> None:
-        spark = docs.sparkSession
-        self.least = LEAST if least is None else least
-        self.spark = spark
-        train = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("raw"))
-        words = train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        words = staged(words, "lm-words")
-        n_docs = train.count()
-        few_of = lambda r: F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}")
-        got = words.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), *map(few_of, range(1, DISCOUNTED + 2))).first()
-        n_of = Counter({r: got[f"n{r}"] for r in range(1, DISCOUNTED + 2)})
-        if n_docs:
-            n_of[n_docs] += 1  # the end of a text is a word too
-        self.total, self.kinds = (got.total or 0) + n_docs, got.kinds + (n_docs > 0)
-        self.single = Single(self.total, n_of)
-        high, low = most_common(words, "n", FREQUENT)
-        top = high.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-        self.words = Words(top.column("word").combine_chunks(), top.column("n").to_numpy())
-        self.shared_words = spark.sparkContext.broadcast(self.words)
-        self.counts = np.zeros(START + 1)
-        self.counts[1 : 1 + len(self.words.counts)] = self.words.counts
-        self.counts[[END, START]] = n_docs
-        self.rare = staged(low.mapInArrow(_rare_rows(self.shared_words), "id long, n long"), "lm-rare")
-        self._pairs(train)
-
-    def _pairs(self, train: DataFrame) -> None:
-        buckets = max(64, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        packed = train.mapInArrow(_count_pairs(self.shared_words, buckets), ", ".join(PACKED))
-        every = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum_pairs(self.least), "a long, b long, n long, r int"), "lm-pairs")
-        low = {r.r: r.n for r in every.filter("r is not null").groupBy("r").agg(F.sum("n").alias("n")).collect()}
-        pairs = every.filter("r is null").select("a", "b", "n")
-        d = discounts(low)
-        p1 = self.single.of(self.counts.astype(np.int64))
-        rare_p1 = self.rare.select("id", self.single.column(F.col("n")).alias("value"))
-        pairs = _with_value(pairs, "b", "p1", p1, rare_p1)
-        pairs = _with_value(pairs, "a", "c", self.counts, self.rare.select("id", F.col("n").cast("double").alias("value")))
-        pairs = staged(pairs.withColumn("share", _discounted(F.col("n"), d) / F.col("c")), "lm-shares")
-        sums = pairs.groupBy("a").agg(F.sum("share").alias("s"), F.sum("p1").alias("t"), F.first("c").alias("c"))
-        # A word that was always followed by stored pairs keeps one count for the rest.
-        kept = F.least("s", F.col("c") / (F.col("c") + 1))
-        back = F.log10((1 - kept) / F.greatest(1 - F.col("t"), F.lit(1e-12)))
-        self.back = staged(sums.select(F.col("a").alias("id"), back.alias("value"), F.log10(kept / F.col("s")).alias("scale")), "lm-backoff")
-        self.log_back = np.zeros(START + 1)
-        scale = np.zeros(START + 1)
-        common = self.back.filter("id > 0").toArrow()  # at most FREQUENT rows and two
-        ids = common.column("id").to_numpy()
-        self.log_back[ids], scale[ids] = common.column("value").to_numpy(), common.column("scale").to_numpy()
-        less = self.back.withColumn("value", F.col("scale") - F.col("value"))
-        pairs = _with_value(pairs, "a", "less", scale - self.log_back, less.select("id", "value"))
-        self.gains = staged(pairs.select("a", "b", "n", (F.log10("share") + F.col("less") - F.log10("p1")).alias("gain")), "lm-gains")
-        self.log_p1 = np.log10(np.maximum(p1, 1e-300))
-
-    def asked(self) -> DataFrame:
-        """(a, b, known, base, score) of what a text can ask for: uncommon words, as (id, 0), and pairs.
-
-        Values of words are what they have over unknown ones.
-        """
-        unknown = math.log10(self.single.unknown)
-        back = self.back.filter("id < 0").select("id", F.col("value").alias("back"))
-        words = self.rare.join(back, "id", "left").select(
-            F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(1).cast("long").alias("known"), F.log10(F.col("n") + 1.0).alias("base"),
-            (F.log10(self.single.column(F.col("n"))) - unknown + F.coalesce("back", F.lit(0.0))).alias("score"),
-        )
-        return words.unionByName(self.gains.select("a", "b", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("gain").alias("score")))
-
-    def tables(self) -> dict:
-        """What every task gets: arrays by common id, the most common pairs' gains by key, and the filter of pairs."""
-        top = most_common(self.gains, "n", FREQUENT_PAIRS)[0].select("a", "b", "gain").toArrow()
-        a, b, gain = (top.column(c).to_numpy() for c in ("a", "b", "gain"))
-        keys = pair_key(np.ascontiguousarray(a), np.ascontiguousarray(b))
-        order = np.argsort(keys)
-        parts = self.gains.mapInArrow(_pair_keys, "part int, key long").groupBy("part").applyInArrow(_filter_part, "part int, bits binary").collect()
-        bits = np.zeros((PARTS, BITS // 8), np.uint8)
-        for p in parts:
-            bits[p.part] = np.frombuffer(p.bits, np.uint8)
-        v = math.log10(self.total + self.kinds + 1)
-        log_base = np.log10(self.counts + 1) - v
-        return {"base": log_base, "p1": self.log_p1, "back": self.log_back, "unknown": (-v, math.log10(self.single.unknown)), "known": self.counts > 0, "keys": keys[order], "gains": gain[order], "bits": bits}
-
-
-def _rare_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value.start().ids
-        for batch in batches:
-            got = np.array([ids[w] for w in batch.column(0).to_pylist()], dtype=np.int64)
-            rare = got < 0
-            yield pa.record_batch([pa.array(got[rare]), batch.column(1).filter(pa.array(rare))], names=["id", "n"])
+        for rows in runs(batches, 1):
+            b = _told_block(rows, facts, facts.order + 2)
+            c = np.r_[b.grams[1].count, facts.n_docs][b.token]
+            by_doc = lambda x: np.add.reduceat(x, b.begins)  # noqa: E731, B023
+            base = np.log10((c + 1) / (facts.total + facts.kinds + 1))
+            cols = [b.docs, b.held, b.lens + 1, by_doc((c > 0).astype(np.int64)), by_doc(base), by_doc(np.log10(b.p))]
+            arrays = [pa.array(x, f.type, mask=b.no_id.astype(bool) if f.name == "doc_id" else None) for x, f in zip(cols, _SCORED, strict=True)]
+            yield pa.record_batch(arrays, schema=_SCORED)
 
     return run
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = pair_key(batch.column(0).to_numpy().copy(), batch.column(1).to_numpy().copy())
-        yield pa.record_batch([pa.array((key >> np.uint64(54)).astype(np.int32)), pa.array(key.view(np.int64))], names=["part", "key"])
-
-
-def _places(key: np.ndarray) -> list[np.ndarray]:
-    return [((key >> np.uint64(17 * i)) & np.uint64(BITS - 1)).astype(np.int64) for i in range(3)]
-
-
-def _filter_part(table: pa.Table) -> pa.Table:
-    bits = np.zeros(BITS, np.uint8)
-    for at in _places(table.column("key").to_numpy().view(np.uint64)):
-        bits[at] = 1
-    return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-
-def _maybe(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    part = (key >> np.uint64(54)).astype(np.int64)
-    out = np.ones(len(key), bool)
-    for at in _places(key):
-        out &= (bits[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
-#: Columns of what texts send: a question has a, b and uid, a text's own row the rest.
-SENT = "a long, b long, uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
-
-
-def _score(shared_words, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, t = shared_words.value.start(), shared.value
-        lost_base, lost_score = t["unknown"]
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-        for batch in batches:
-            uids, docs, held = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            ask, own, size = [], [], 0
-            for i in range(batch.num_rows):
-                ids = words.of(batch.column(3)[i].as_py() or b"")
-                hist, pred = np.r_[START, ids], np.r_[ids, END]
-                near = pred > 0
-                p, h = pred[near], hist[hist > 0]
-                far = pred[~near]
-                key = pair_key(hist, pred)
-                at = np.minimum(np.searchsorted(t["keys"], key), max(len(t["keys"]) - 1, 0))
-                hit = t["keys"][at] == key if len(t["keys"]) else np.zeros(len(key), bool)
-                score = t["p1"][p].sum() + t["back"][h].sum() + t["gains"][at[hit]].sum() + len(far) * lost_score
-                rest = np.flatnonzero(~hit)
-                rest = rest[_maybe(t["bits"], key[rest])]
-                ask.append((np.r_[far, hist[rest]], np.r_[np.zeros(len(far), np.int64), pred[rest]], np.full(len(far) + len(rest), uids[i])))
-                own.append((uids[i], docs[i], held[i], len(pred), int(t["known"][p].sum()), float(t["base"][p].sum() + len(far) * lost_base), float(score)))
-                size += len(ids)
-                if size > 500_000 or i + 1 == batch.num_rows:
-                    a, b, u = (np.concatenate([x[k] for x in ask]) for k in range(3))
-                    order = np.lexsort((b, a))
-                    none = [pa.nulls(len(a), f.type) for f in schema][3:]
-                    yield pa.record_batch([pa.array(a[order]), pa.array(b[order]), pa.array(u[order]), *none], schema=schema)
-                    cols = [pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), list(schema)[2:], strict=True)]
-                    # A text's own row asks for nothing: its pair is no pair of words.
-                    spread = _mix(cols[0].to_numpy().astype(np.uint64)).view(np.int64)
-                    yield pa.record_batch([pa.array(spread), pa.array([-(1 << 62) - 2] * len(own), pa.int64()), *cols], schema=schema)
-                    ask, own, size = [], [], 0
-
-    return run
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def score(docs: DataFrame, model: Model | None = None, least: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, lower-cased in A-Z, and one end. base_score
-    is the sum of log10((c + 1) / (N + V + 1)); score the model's log10
-    probability of the text. The model is by default learned from ``docs``, with the
-    pairs seen ``least`` times or more (LEAST unless given; 1 stores every pair that
-    was counted, those seen once with their own discount); one
-    without any text knows nothing and gives each word the whole mass of unknown
-    ones. A null text is empty and has one token. Repeated rows each get their
-    row. An empty table gives no rows. Only doc_id and text are read.
+    is the sum of log10((c + 1) / (N + V + 1)); score the log10 probability of the
+    text after a model of n-grams of up to ``order`` words (2 at least), learned
+    from the rows that are not held out, that stores those seen ``least`` times or
+    more. Histories begin at the start of a text; a token with fewer words before it
+    has a shorter one. A model without any text knows nothing and gives each word
+    the whole mass of unknown ones. A null text is empty and has one token. Repeated
+    rows each get their row and count each. An empty table gives no rows. Only doc_id
+    and text are read.
+
+    A block holds about BLOCK tokens, or one text if that is longer; a bucket about
+    PER_BUCKET keys, for which the number of buckets grows with the tokens.
     """
-    model = model or Model(docs, least)
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("raw"))
-    sent = rows.mapInArrow(_score(model.shared_words, sc.broadcast(model.tables())), SENT)
-    told = model.asked().select("a", "b", F.col("known").alias("known2"), F.col("base").alias("base2"), F.col("score").alias("score2"))
-    every = sent.join(told, ["a", "b"], "left")
-    plus = lambda c: (F.coalesce(F.sum(c), F.lit(0)) + F.coalesce(F.sum(f"{c}2"), F.lit(0)))
-    out = every.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        plus("known").alias("n_known"),
-        plus("base").alias("base_score"),
-        plus("score").alias("score"),
-    )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    if order < 2:
+        raise ValueError("a backoff needs n-grams of two words at least")
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.col("text").cast("binary").alias("raw"))
+    state = staged(rows.mapInArrow(_cut(BLOCK), _ddl(_BLOCK)), "lm-blocks")
+    sizes = state.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("docs")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = Facts(sizes.docs or 0, order, least, max(BUCKETS, parts, -(-(sizes.tokens or 0) // PER_BUCKET)))
+    names = _ANSWER.names[:5]
+    told = state.select(names)
+    for step in range(1, order + 2):
+        asked = told if step == 1 else told.repartition("block").sortWithinPartitions("block", "step", "kind", "bucket")
+        asked = asked.mapInArrow(_ask(facts, step), _ddl(_ASKED)).repartition("bucket").sortWithinPartitions("bucket", "kind")
+        answers = staged(asked.mapInArrow(_answer(step), _ddl(_ANSWER)), f"lm-told-{step}")
+        if step <= order:
+            got = answers.filter("stats is not null").agg(*[F.sum(F.col("stats")[k]) for k in range(DISCOUNTED + 3)]).first()
+            facts.learn(step, [x or 0 for x in got])
+        told = told.unionByName(answers.filter("block is not null").select(names))
+    out = told.repartition("block").sortWithinPartitions("block", "step", "kind", "bucket").mapInArrow(_score(facts), _ddl(_SCORED))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts.total).cast("long").alias("train_tokens"), "base_score", "score")

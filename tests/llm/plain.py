@@ -117,17 +117,17 @@ def near_all(rows, percent=75):
         comp = least
 
 
-def katz(rows, least=2, k=5):
+def katz(rows, order=3, least=1, k=5):
     """doc_id -> what op6 returns, with the backoff evaluated recursively for each token."""
-    tokens = lambda t: [*low(t).encode().split(), None]
+    tokens = lambda t: ["<s>", *low(t).encode().split(), None]
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
-    single, pair, history = Counter(), Counter(), Counter()
+    count = [Counter() for _ in range(order + 1)]
     for d, t in rows:
         if not held(d):
             w = tokens(t)
-            single.update(w)
-            pair.update(zip(["<s>", *w], w, strict=False))
-            history.update(["<s>", *w[:-1]])
+            for n in range(1, order + 1):
+                count[n].update(tuple(w[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(w)))
+    single = count[1]
     total, kinds = sum(single.values()), len(single)
 
     def discount(counts):
@@ -136,29 +136,36 @@ def katz(rows, least=2, k=5):
         d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - off) / (1 - off) if n[r] and off < 1 else 0 for r in range(1, k + 1)}
         return lambda c: (d[c] if 0 < d[c] < 1 else (c - 0.5) / c) if c <= k else 1.0
 
-    d1, d2 = discount(single), discount(pair)
-    lost = 1 - sum(d1(c) * c for c in single.values()) / total
-    one = lambda w: d1(single[w]) * single[w] / total if single[w] else lost
-    after = defaultdict(list)
-    for (a, b), c in pair.items():
-        if c >= least:
-            after[a].append((b, c))
-    weight, scale = {}, {}
-    for a, f in after.items():
-        s = sum(d2(c) * c / history[a] for _, c in f)
-        kept = min(s, history[a] / (history[a] + 1))
-        scale[a], weight[a] = kept / s, (1 - kept) / (1 - sum(one(b) for b, _ in f))
-
-    def p(b, a):
-        c = pair.get((a, b), 0)
-        return scale[a] * d2(c) * c / history[a] if c >= least else weight.get(a, 1.0) * one(b)
-
-    for a in list(after)[:20]:  # each distribution sums to one
-        assert abs(sum(p(b, a) for b in single) + weight[a] * lost - 1) < 1e-9
+    d = [None, *map(discount, count[1:])]
+    lost = 1 - sum(d[1](c) * c for c in single.values()) / total
+    history, after = Counter(), defaultdict(list)
+    for n in range(2, order + 1):
+        for g, c in count[n].items():
+            history[g[:-1]] += c
+            if c >= least:
+                after[g[:-1]].append((g[-1], c))
+    weight = {}
+
+    def weights(h):
+        if h not in weight:
+            s = sum(d[len(h) + 1](c) * c / history[h] for _, c in after[h]) if h in after else 0
+            kept = min(s, history[h] / (history[h] + 1))
+            weight[h] = (kept / s, (1 - kept) / (1 - sum(p(b, h[1:]) for b, _ in after[h]))) if s else (1.0, 1.0)
+        return weight[h]
+
+    def p(b, h):
+        c = count[len(h) + 1].get((*h, b), 0)
+        if not h:
+            return d[1](c) * c / total if c else lost
+        return weights(h)[0] * d[len(h) + 1](c) * c / history[h] if c >= least else weights(h)[1] * p(b, h[1:])
+
+    for h in [*list(after)[:10], *list(after)[-10:]]:  # each distribution sums to one
+        assert abs(sum(p(b, h) for (b,) in single) + p("never seen", h) - 1) < 1e-9
     out = {}
-    for d, t in rows:
+    for doc, t in rows:
         w = tokens(t)
-        out[d] = (held(d), len(w), sum(single[x] > 0 for x in w), total, sum(math.log10((single[x] + 1) / (total + kinds + 1)) for x in w), sum(math.log10(p(b, a)) for a, b in zip(["<s>", *w], w, strict=False)))
+        score = sum(math.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, len(w)))
+        out[doc] = (held(doc), len(w) - 1, sum(single[x,] > 0 for x in w[1:]), total, sum(math.log10((single[x,] + 1) / (total + kinds + 1)) for x in w[1:]), score)
     return out
 
 

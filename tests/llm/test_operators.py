@@ -208,37 +208,15 @@ def test_estimates():
     assert near_dedup.estimate(s.registers(a), s.registers(x[:300] + np.uint64(1)), len(a), 300) < 0.1
 
 
-@pytest.mark.parametrize("common", [(40, 30), None])
-def test_katz(docs, monkeypatch, common):
-    if common:
-        monkeypatch.setattr(lm_scoring, "FREQUENT", common[0])
-        monkeypatch.setattr(lm_scoring, "END", common[0] + 1)
-        monkeypatch.setattr(lm_scoring, "START", common[0] + 2)
-        monkeypatch.setattr(lm_scoring, "FREQUENT_PAIRS", common[1])
-    want = plain.katz([(d, t) for d, t in TEXT.items()])
-    got = lm_scoring.score(docs).collect()
+@pytest.mark.parametrize(("order", "least", "block"), [(3, 1, 1 << 19), (3, 1, 300), (2, 2, 700), (4, 1, 150)])
+def test_katz(docs, monkeypatch, order, least, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    want = plain.katz([(d, t) for d, t in TEXT.items()], order, least)
+    got = lm_scoring.score(docs, order, least).collect()
     assert len(got) == len(ROWS)
     for r in got:
         w = want[r.doc_id]
-        assert tuple(r)[1:5] == w[:4] and math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-7), (r, w)
-
-
-@pytest.mark.parametrize("common", [(40, 30), None])
-def test_op6_stores_pairs_seen_once(spark, docs, monkeypatch, common, tmp_path):
-    from tallyforge.llm import queries
-
-    if common:
-        monkeypatch.setattr(lm_scoring, "FREQUENT", common[0])
-        monkeypatch.setattr(lm_scoring, "END", common[0] + 1)
-        monkeypatch.setattr(lm_scoring, "START", common[0] + 2)
-        monkeypatch.setattr(lm_scoring, "FREQUENT_PAIRS", common[1])
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    want = plain.katz([(d, t) for d, t in TEXT.items()], least=1)
-    got = queries.op6_lm_score(spark, f"file://{tmp_path}").collect()
-    assert len(got) == len(ROWS)
-    for r in got:
-        w = want[r.doc_id]
-        assert tuple(r)[1:5] == w[:4] and math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-7), (r, w)
+        assert tuple(r)[1:5] == w[:4] and math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-9), (r, w)
 
 
 def test_mixing(docs):
