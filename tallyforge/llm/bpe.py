@@ -1,14 +1,12 @@
 """BPE encoding through a table of distinct words, decoding through the table of pieces.
 
 A byte-level BPE never merges across the words that its split pattern finds, so a
-text's ids are its words' ids in a row. All texts are split in Spark tasks, each
-distinct word is encoded once, and the ids are joined back by position in two ways
-that together cover every word. The most common words, a table of fixed size, are
-encoded first and broadcast, and looked up where the text is. Every other
-occurrence travels, packed with its document and position, to the task that has
-its word's bucket, is encoded there with all occurrences of the same word, and
-comes back to its block of documents. Texts themselves are not shuffled, only
-their words' ranks.
+text's ids are its words' ids in a row. All texts are split once, in Spark tasks,
+into blocks: the block's distinct words, and for each position the word's rank
+among them. The distinct words go, packed by hash bucket, to the task that has
+their bucket; there each word is encoded once for all blocks that sent it, and its
+ids come back to them, where they are joined to the positions. Texts themselves
+are not shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +14,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import most_common, staged
+from tallyforge.llm.blocks import bucket_ends, narrow, pack, partition, record_batch, runs, unpack
+from tallyforge.llm.common import staged
 
-#: Words that are broadcast with their ids, the most common ones.
-FREQUENT = 1 << 18
-#: Distinct words that a task counts before it hands them on.
-HELD = 400_000
-#: Documents go in blocks of about so many characters.
-BLOCK = 2 << 20
-#: Buckets that uncommon words are dealt to, at least.
-BUCKETS = 64
+#: Characters of a block of documents.
+BLOCK = 4 << 20
+#: Buckets that words are dealt to, at least, and words that blocks send to each.
+BUCKETS, PER_BUCKET = 32, 1 << 17
+#: Ids that are handed on at once.
+HANDED = 1 << 20
 #: Characters for which the regex module and the tokenizer agree on letters, digits and space, whatever their Unicode versions.
 PLAIN = "[^\x00-ԯ -⁯₠-₿　-ヿ一-龥가-힣]"
 #: Characters that texts in Latin letters are made of, and their letters, digits and space; the plain re module is quicker on these.
@@ -96,253 +92,156 @@ class Splitter:
         return out
 
 
-class Frequent:
-    """The broadcast table: rank by word, and the ids of each rank. Rank 0 stands for any other word."""
-
-    def __init__(self, table: pa.Table) -> None:
-        self.words, self.ids, self.rank = table.column("word").combine_chunks(), table.column("ids").combine_chunks(), None
-
-    def __getstate__(self):
-        return self.words, self.ids
-
-    def __setstate__(self, state):
-        (self.words, self.ids), self.rank = state, None
-
-    def start(self) -> Frequent:
-        if self.rank is None:
-
-            class Ranks(dict):
-                def __missing__(self, word):
-                    return 0
-
-            self.rank = Ranks(zip(self.words.to_pylist(), range(1, len(self.words) + 1), strict=True))
-            blobs = self.ids.to_pylist()
-            self.lens = np.array([0, *(len(x) // 4 for x in blobs)], dtype=np.int64)
-            self.starts = np.r_[0, np.cumsum(self.lens)[:-1]]
-            self.flat = np.frombuffer(b"".join(blobs) or b"\0\0\0\0", dtype="<i4")
-        return self
-
-
 def read_spec(path: str) -> str:
     """The tokenizer's JSON, read once on the driver; its size is that of a vocabulary."""
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def _counts(split: Splitter):
+_STATE = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("n_words", pa.int64())])
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("what", pa.binary())])
+#: A block's own row comes before its buckets'.
+_TOLD = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("what", pa.binary())])
+_OWN = -1
+
+
+def _cut(split: Splitter, size: int):
+    """Rows (doc_id, text) to blocks: the distinct words in the order of their hashes, and the documents' words as ranks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        import xxhash
+
+        at, n, held = partition(), 0, 0
+        docs, lens, places, known = [], [], [], {}
 
         def out():
-            # Only the choice of common words rests on these counts, so words seen once here can stay.
-            many = {w: n for w, n in held.items() if n > 1}
-            held.clear()
-            return pa.record_batch([pa.array(many.keys(), pa.string()), pa.array(many.values(), pa.int64())], names=["word", "n"])
+            ws = [w.encode() for w in known]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(ws), np.int64)
+            rank[order] = np.arange(len(ws))
+            ids = rank[np.concatenate(places)] if places else rank[:0]
+            words = pack(hashes[order], *_text_arrays([ws[k] for k in order]))
+            own = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(lens, "<i8"), narrow(ids))
+            return record_batch([(at << 32 | n, words, own, len(ws))], _STATE)
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(split(text.as_py() or ""))
-                if len(held) > HELD:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                ws = split(text)
+                docs.append(doc)
+                lens.append(len(ws))
+                places.append(np.fromiter([known.setdefault(w, len(known)) for w in ws], np.int64, len(ws)))
+                held += len(text) + 1
+                if held >= size:
                     yield out()
-        if held:
+                    n, held = n + 1, 0
+                    docs, lens, places, known = [], [], [], {}
+        if docs:
             yield out()
 
     return run
 
 
-def _encode_words(split: Splitter):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = split.tokenizer()
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(_encoded(t, batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
-
-    return run
-
-
-def _encoded(t, ws: list[str]) -> list[bytes]:
-    return [np.array(t.encode(w, add_special_tokens=False).ids, dtype="<i4").tobytes() for w in ws]
-
-
-def common_words(texts: DataFrame, split: Splitter, frequent: int) -> Frequent:
-    """At most ``frequent`` of the most common words of the column ``text``, encoded."""
-    counts = staged(texts.select("text").mapInArrow(_counts(split), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-counts")
-    high, _ = most_common(counts, "n", frequent)
-    return Frequent(high.select("word").mapInArrow(_encode_words(split), "word string, ids binary").toArrow())
-
-
-def _pack(compress, *arrays: pa.Array) -> bytes:
-    """Arrays of one length as one compressed piece of Arrow's stream format."""
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch(list(arrays), names=[str(k) for k in range(len(arrays))])
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return compress(sink.getvalue().to_pybytes())
+def _text_arrays(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(w) for w in ws], "<u4"), np.frombuffer(b"".join(ws), np.uint8)
 
 
-def _unpack(raw: bytes) -> list[list]:
-    with pa.ipc.open_stream(raw) as stream:
-        return [c.to_pylist() for c in stream.read_all().columns]
+def _texts(lens: np.ndarray, flat: np.ndarray) -> list[str]:
+    data, ends = flat.tobytes(), np.cumsum(lens, dtype=np.int64).tolist()
+    return [data[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(name, doc_ids, texts) of blocks of rows. The name is a hash of what is in the block, so any rerun gives the same."""
-    import xxhash
-
-    docs, texts, held = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            docs.append(doc)
-            texts.append(text)
-            held += len(text)
-            if held >= BLOCK:
-                yield _name(xxhash, docs, texts), docs, texts
-                docs, texts, held = [], [], 0
-    if docs:
-        yield _name(xxhash, docs, texts), docs, texts
-
-
-def _name(xxhash, docs: list, texts: list[str]) -> int:
-    h = xxhash.xxh3_64()
-    for doc, text in zip(docs, texts, strict=True):
-        h.update(f"{doc}:{len(text)}:")
-        h.update(text.encode())
-    return h.intdigest() - (1 << 63)
-
-
-def _ranked(split: Splitter, shared):
-    """Of each block its documents, and their words' ranks with 0 for the uncommon ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        rank, pack = shared.value.start().rank, zstandard.ZstdCompressor(level=3).compress
-        for name, docs, texts in _blocks(batches):
-            rows = []
-            for text in texts:
-                ws = split(text)
-                ranks = np.fromiter(map(rank.__getitem__, ws), dtype="<u4", count=len(ws))
-                rows.append(ranks.view("u1").reshape(-1, 4).T.tobytes())
-            yield pa.record_batch([pa.array([name]), pa.array([1], pa.int32()), pa.array([_pack(pack, pa.array(docs, pa.int64()), pa.array(rows, pa.binary()))], pa.binary())], names=["block", "kind", "what"])
-
-    return run
-
-
-def _uncommon(split: Splitter, shared, buckets: int):
-    """Of each block the words without a rank, with document and position, packed by the bucket of the word."""
+def _ask(buckets: int):
+    """From blocks' distinct words: the words, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        import zstandard
-
-        rank, pack, digest = shared.value.start().rank, zstandard.ZstdCompressor(level=3).compress, xxhash.xxh3_64_intdigest
-        for name, _, texts in _blocks(batches):
-            found: dict[int, list] = {}
-            for i, text in enumerate(texts):
-                for k, w in enumerate(split(text)):
-                    if w not in rank:
-                        found.setdefault(digest(w) % buckets, []).append((i, k, w))
-            if found:
-                blobs = [_pack(pack, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True))) for rows in found.values()]
-                yield pa.record_batch([pa.array(found.keys(), pa.int32()), pa.array([name] * len(blobs)), pa.array(blobs, pa.binary())], names=["bucket", "block", "what"])
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes, lens, flat = unpack(raw.as_py())
+                ends, at = bucket_ends(hashes, buckets).tolist(), np.r_[0, np.cumsum(lens, dtype=np.int64)].tolist()
+                out = [(k, block, pack(lens[i:j], flat[at[i] : at[j]])) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if j > i]
+                if out:
+                    yield record_batch(out, _ASKED)
 
     return run
 
 
 def _encode_buckets(split: Splitter):
-    """From rows sorted by bucket: the words' ids in place of the words. A word is encoded where it first occurs."""
+    """From rows sorted by bucket: the words' ids. Each word of a bucket is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        t, at, known = split.tokenizer(), None, {}
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        t = split.tokenizer()
+        for rows in runs(batches, 1):
+            known: dict[str, np.ndarray] = {}
             out = []
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                if at != bucket or len(known) > 2 * HELD:
-                    at, known = bucket, {}
-                docs, places, ws = _unpack(unpack(raw.as_py()))
+            for bucket, block, raw in rows:
+                ws = _texts(*unpack(raw))
                 new = [w for w in dict.fromkeys(ws) if w not in known]
-                known.update(zip(new, _encoded(t, new), strict=True))
-                out.append(_pack(pack, pa.array(docs, pa.int32()), pa.array(places, pa.int32()), pa.array([known[w] for w in ws], pa.binary())))
-            yield pa.record_batch([batch.column(1), pa.array([0] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "kind", "what"])
+                known.update(zip(new, (np.array(e.ids, "<u4") for e in t.encode_batch(new, add_special_tokens=False)), strict=True))
+                ids = [known[w] for w in ws]
+                out.append((block, bucket, pack(np.array([len(x) for x in ids], "<u4"), narrow(np.concatenate(ids)))))
+                if len(out) == 64:
+                    yield record_batch(out, _TOLD)
+                    out = []
+            if out:
+                yield record_batch(out, _TOLD)
 
     return run
 
 
-def _assemble(shared):
-    """From rows sorted by block and kind: the ids of each text. A block's uncommon words come before its ranks."""
+def _assemble(handed: int):
+    """From a block's own row and its words' ids by bucket, which together are in the order of its words: the ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        words, unpack = shared.value.start(), zstandard.ZstdDecompressor().decompress
-        key, rest = None, {}
-        for batch in batches:
-            for block, kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if key != block:
-                    key, rest = block, {}
-                cols = _unpack(unpack(raw.as_py()))
-                if kind == 0:
-                    for i, k, ids in zip(*cols, strict=True):
-                        rest.setdefault(i, {})[k] = np.frombuffer(ids, dtype="<i4")
-                    continue
-                docs, out, held = [], [], 0
-                for i, (doc, ranks) in enumerate(zip(*cols, strict=True)):
-                    docs.append(doc)
-                    out.append(_ids(words, ranks, rest.get(i, {})))
-                    held += len(out[-1])
-                    if held > BLOCK:
-                        yield _ids_batch(docs, out)
-                        docs, out, held = [], [], 0
-                if docs:
-                    yield _ids_batch(docs, out)
+        for rows in runs(batches, 1):
+            docs, no_id, lens, places = unpack(rows[0][2])
+            got = [unpack(r[2]) for r in rows[1:]]
+            n_ids = np.concatenate([x[0] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+            flat = np.concatenate([x[1].astype(np.int32) for x in got]) if got else np.zeros(0, np.int32)
+            if len(places) and int(places.max()) >= len(n_ids):
+                raise RuntimeError("a block's words did not all come back")
+            starts, ends = np.cumsum(n_ids) - n_ids, np.cumsum(lens)
+            at = 0
+            while at < len(docs):
+                # As many documents as have about ``handed`` ids, one at least.
+                first = int(ends[at] - lens[at])
+                to = max(at + 1, int(np.searchsorted(ends, first + handed, side="right")))
+                some = places[first : int(ends[to - 1])].astype(np.int64)
+                each = n_ids[some]
+                stops = np.cumsum(each)
+                total = int(stops[-1]) if len(stops) else 0
+                ids = flat[np.repeat(starts[some] - (stops - each), each) + np.arange(total)]
+                # A text ends where its last word's ids do.
+                bounds = np.r_[0, np.r_[0, stops][ends[at:to] - first]]
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                yield pa.record_batch([pa.array(docs[at:to], mask=no_id[at:to].astype(bool)), lists], names=["doc_id", "ids"])
+                at = to
 
     return run
 
 
-def _ids(words: Frequent, packed: bytes, rest: dict[int, np.ndarray]) -> np.ndarray:
-    """The ids of one text from its ranks and the ids of its uncommon words by position."""
-    ranks = np.ascontiguousarray(np.frombuffer(packed, dtype="u1").reshape(4, -1).T).view("<u4").ravel()
-    if int((ranks == 0).sum()) != len(rest):
-        raise RuntimeError("a text's uncommon words did not all come back")
-    lens = words.lens[ranks]
-    for k, ids in rest.items():
-        lens[k] = len(ids)
-    ends = np.cumsum(lens)
-    begins = ends - lens
-    src = np.repeat(words.starts[ranks] - begins, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-    found = words.flat[np.clip(src, 0, len(words.flat) - 1)]
-    for k, ids in rest.items():
-        found[begins[k] : ends[k]] = ids
-    return found
-
-
-def _ids_batch(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-    return pa.record_batch([pa.array(docs, pa.int64()), lists], names=["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id and ids, as the tokenizer in the file ``path`` encodes the text.
 
     Special tokens are not added, but recognised where a text holds their strings.
     A null text is empty and has no ids. Repeated rows each get their row, rows of
     one doc_id with other texts theirs. An empty table gives no rows. Only doc_id
-    and text are read.
+    and text are read, and read once.
+
+    A block holds about BLOCK characters, or one text if that is longer; a bucket
+    gets about PER_BUCKET words, for which the number of buckets grows with the
+    words that blocks send.
     """
     spark = docs.sparkSession
     split = Splitter(read_spec(path))
-    texts = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(common_words(texts, split, frequent))
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    other = texts.mapInArrow(_uncommon(split, shared, buckets), "bucket int, block long, what binary").repartition("bucket").sortWithinPartitions("bucket")
-    other = other.mapInArrow(_encode_buckets(split), "block long, kind int, what binary")
-    ranks = texts.mapInArrow(_ranked(split, shared), "block long, kind int, what binary")
-    every = ranks.unionByName(other).repartition("block").sortWithinPartitions("block", "kind")
-    return every.mapInArrow(_assemble(shared), "doc_id long, ids array<int>")
+    blocks = staged(docs.select("doc_id", "text").mapInArrow(_cut(split, BLOCK), "block long, words binary, places binary, n_words long"), "bpe-blocks")
+    sent = blocks.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // PER_BUCKET))
+    asked = blocks.select("block", "words").mapInArrow(_ask(buckets), "bucket int, block long, what binary")
+    told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(split), "block long, bucket int, what binary")
+    every = blocks.select("block", F.lit(_OWN).alias("bucket"), F.col("places").alias("what")).unionByName(told)
+    return every.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(HANDED), "doc_id long, ids array<int>")
 
 
 def piece_table(spec: str) -> pa.Array:
@@ -392,9 +291,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(_decode(shared, len(names)), f"{kinds}, decoded string")
 
 
-def digests(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
+def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
-    back = decode(encode(docs, path, frequent), path)
+    back = decode(encode(docs, path), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

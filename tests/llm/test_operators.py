@@ -131,13 +131,15 @@ def test_html_table(spark):
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "Hé, là.", 7)]
 
 
-@pytest.mark.parametrize("frequent", [50, 1 << 19])
-def test_bpe(docs, frequent):
+@pytest.mark.parametrize(("block", "handed"), [(3000, 50), (4 << 20, 1 << 20)])
+def test_bpe(docs, monkeypatch, block, handed):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    monkeypatch.setattr(bpe, "HANDED", handed)
     path = bpe.default_path()
     t = Tokenizer.from_file(path)
-    got = bpe.digests(docs, path, frequent).collect()
+    got = bpe.digests(docs, path).collect()
     assert len(got) == len(ROWS)
     for r in got:
         ids = t.encode(TEXT[r.doc_id] or "", add_special_tokens=False).ids
