@@ -126,6 +126,54 @@ def test_html():
     assert html_text.main_text(deep) == "low, down."
 
 
+ARTICLE = "<h1>Title</h1><p>Some text, long enough. It has two sentences.</p><p>More of it, really.</p><ul><li><a href=x>Home</a></li><li><a href=y>World</a></li></ul><p>Click <button>here</button> to go on.</p>"
+TEXT_OF_IT = "Title\nSome text, long enough. It has two sentences.\nMore of it, really.\nClick to go on."
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="has-sidebar"><article>{}</article><div class="sidebar"><p>Side, text.</p></div></div>', '<div class="content with-sidebar"><article>{}</article></div>', '<article class="post share-enabled">{}</article>',
+    '<main class="no-comments">{}</main>', "<form><nav><a href=q>Menu</a></nav><article>{}</article></form>", "<form><div>{}</div></form>", '<div class="content with-sidebar">{}</div><div class=footer>All rights, reserved.</div>',
+    '<div id="sidebar-page"><article>{}</article></div>', '<article>{}</article><section class="comments"><article><p>I agree, totally.</p></article></section>',
+])
+def test_a_wrapper_does_not_lose_the_article(wrapper):
+    page = f"<html><body><nav><ul><li><a href=1>Home</a><li><a href=2>About</a></ul></nav>{wrapper.format(ARTICLE)}<footer>Copyright, 2020.</footer></body></html>"
+    assert html_text.main_text(page) == TEXT_OF_IT
+
+
+def test_two_unmarked_parts_are_both_text():
+    long = "<p>A sentence, with a comma. And one more, as long.</p>" * 3
+    assert html_text.main_text(f"<body><div>{long * 3}</div><div>{long}</div></body>").count("\n") == 11
+
+
+def test_ratios_decide_where_nothing_is_marked(monkeypatch):
+    menu = "".join(f"<div>Item {k}</div>" for k in range(12))
+    long = "<p>A sentence, with a comma and many words in it. And one more, which is as long.</p>" * 8
+    page = f"<body><div><div>{menu}</div></div><section>{long}</section></body>"
+    assert html_text.main_text(page).count("\n") == 7 and "Item" not in html_text.main_text(page)
+    monkeypatch.setattr(html_text, "ratios", lambda sums: [1.0] * len(sums))
+    assert "Item" in html_text.main_text(page)
+
+
+def test_ratios_are_sums_by_path():
+    blocks = [("a", "One, two.", 0), ("a", "Three", 2), ("b", "four. five! six?", 4), ("c", "x", 1)]
+    sums = {}
+    for path, text, linked in blocks:
+        x = sums.setdefault(path, [0, 0, 0, 0])
+        x[0], x[1], x[2], x[3] = x[0] + len(text), x[1] + sum(c in ".,!?" for c in text), x[2] + linked, x[3] + 1
+    raw = {k: n * (1 + m) / b**1.5 * (1 - q / n) for k, (n, m, q, b) in sums.items()}
+    want = [(11 * raw["a"] + raw["b"]) / 12, (raw["a"] + 10 * raw["b"] + raw["c"]) / 12, (raw["b"] + 11 * raw["c"]) / 12]
+    assert np.allclose(html_text.ratios(list(sums.values())), want)
+
+
+def test_a_page_of_open_tags_is_read_in_seconds():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<div>" * 200_000 + "<p>low, down.") == "low, down."
+    assert html_text.main_text("<p><b><li>" * 100_000 + "x, y.") == "x, y."
+    assert time.time() - began < 60
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (1, "u", None, 5), (2, None, "<article><p>Hé, là.</p></article>", 6)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "Hé, là.", 7)]
