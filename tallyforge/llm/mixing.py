@@ -93,7 +93,7 @@ def land(p: list[float], size: list[int]) -> list[float]:
 
 def _fly(last: bool):
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["order", "doc_id", "size", "uid"], kind="stable", na_position="last")
+        df = df.sort_values(["order", "id", "h", "nth"], kind="stable")
         p, size = df["p"].tolist(), df["size"].tolist()
         kept = reserve(p, size) if last else set()
         fly = [i for i in range(len(p)) if i not in kept]
@@ -142,18 +142,26 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
 
 def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, h, size, source_size, target, times (copies taken) and taken (words)."""
-    narrow = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("size"))
-    rows = staged(narrow, "mix-sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    """Per row of ``docs``: doc_id, source, h, size, source_size, target, times (copies taken) and taken (words).
+
+    Blocks and draws follow from what is in the rows, h being a hash of the text,
+    and from a number among rows that are equal in these. So the plan is the same
+    however the table is cut into files and tasks.
+    """
+    narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("size"))
+    alike = staged(narrow.groupBy("doc_id", "source", "h", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    sums = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goals = staged(targets(sums), "mix-targets")
+    rows = alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
     rows = rows.join(few(goals.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + EPS)
     part = F.greatest(F.lit(0.0), ratio - whole)
     rows = rows.withColumn("whole", whole).withColumn("p", F.when(part > EPS, part).otherwise(0.0))
-    rows = rows.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
-    kinds = "uid long, doc_id long, source string, h long, size long, source_size long, target double, whole long, p double, order long, n_blocks long"
+    # pandas has no null numbers, so a null id goes as 0 with a mark.
+    rows = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "h", "nth", F.lit(SEED)))
+    kinds = "id long, no_id boolean, source string, h long, nth long, size long, source_size long, target double, whole long, p double, order long, n_blocks long"
     blocks = goals.agg(F.max("n_docs")).first()[0] or 0
     done = rows.filter("p = 0").withColumn("n_blocks", F.lit(0).cast("long"))
     here = rows.filter("p > 0").withColumn("n_blocks", F.ceil(F.col("n_docs") / block))
@@ -163,7 +171,7 @@ def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         last = most <= 1
         # A level's blocks are dealt by a hash, so they hold about `block` rows whatever the source's size.
-        dealt = here.select(cols).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.greatest(F.col("n_blocks"), F.lit(1))))
+        dealt = here.select(cols).withColumn("block", F.pmod("order", F.greatest(F.col("n_blocks"), F.lit(1))))
         flown = staged(dealt.groupBy("source", "block").applyInPandas(_fly(last), kinds + ", block long").select(cols), "mix-flight")
         if last:
             outs.append(flown)
@@ -176,20 +184,21 @@ def plan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     for x in outs[1:]:
         every = every.unionByName(x)
     times = F.col("whole") + F.col("p").cast("long")
-    return every.select("doc_id", "source", "h", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    return every.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "source", "h", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, each as many times as the plan takes it (0, 1 or 2), with all their columns.
 
     A null source is a source of its own, the last in order; a null text has size
-    0. Rows that repeat are drawn apart and come out as often as all of them
-    together. An empty table gives no rows. Reruns over the same files agree.
+    0. Rows equal in doc_id, text and source are drawn apart, and one of them comes
+    out as often as all of them together. An empty table gives no rows. Reruns
+    agree, whatever the files and partitions. Columns may have any names.
     """
-    key = F.struct(docs["doc_id"], F.xxhash64(docs["text"]), docs["source"])
-    counts = plan(docs, block).groupBy(F.struct("doc_id", "h", "source").alias("__key")).agg(F.sum("times").alias("__times"), F.count(F.lit(1)).alias("__rows")).filter("__times > 0")
-    taken = docs.join(counts, key.eqNullSafe(F.col("__key")))
-    once = taken.filter("__rows = 1")
-    again = taken.filter("__rows > 1").dropDuplicates(["__key"])
-    every = once.unionByName(again).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return every.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("h"), docs["source"])
+    whole = docs.select(key.alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    counts = plan(docs, block).groupBy(F.struct("doc_id", "h", "source").alias("k")).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")).filter("times > 0")
+    taken = whole.join(counts, F.col("key").eqNullSafe(F.col("k"))).select("key", "row", "times", "rows")
+    once = taken.filter("rows = 1")
+    again = taken.filter("rows > 1").dropDuplicates(["key"])
+    return once.unionByName(again).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

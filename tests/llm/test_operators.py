@@ -294,6 +294,15 @@ def test_mixing(docs):
     assert mixing.mix(docs, block=16).count() == sum(r.times for r in got)
 
 
+def test_a_mix_does_not_depend_on_partitions_or_names(spark, docs):
+    odd = docs.withColumn("__times", F.lit(1)).withColumn("row", F.lit(2)).withColumn("times", F.lit(3)).withColumn("k", F.lit(4)).withColumn("a.b", F.lit(5))
+    big = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + (1 << 60))).unionByName(odd.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    plans = [sorted(map(str, mixing.plan(big.repartition(n), block=16).select("doc_id", "source", "h", "times").collect())) for n in (1, 3, 11)]
+    assert plans[0] == plans[1] == plans[2] and len(plans[0]) == 2 * len(ROWS) + 3
+    got = mixing.mix(big, block=16)
+    assert got.columns == big.columns and got.count() == sum(r.times for r in mixing.plan(big, block=16).collect())
+
+
 def test_flight_keeps_both_totals():
     size, p = [random.Random(4).randrange(1, 90) for _ in range(500)], [0.37] * 500
     out = mixing.flight(p, size, random.Random(1))
