@@ -309,7 +309,7 @@ class _Postings:
         return out
 
 
-#: Pairs of a member that are confirmed one by one, nearest first, before all the others at once.
+#: Of a member the pairs that are confirmed first, nearest first.
 TRIES = 6
 
 
@@ -331,20 +331,17 @@ def _confirm(sketch: Sketcher, percent: int):
             found.append((int(b.id[x]), int(b.id[y])))
             comp[comp == comp[y]] = comp[x]
 
-        for x in b.asks:
+        for x in b.asks:  # the nearest first, which joins most of a large group
             y = b.candidates(x, comp, percent)
-            if not len(y):
-                continue
             est = b.estimates(x, y)
-            y = y[np.argsort(-est, kind="stable")][: int((est >= least).sum())]
-            for k in range(TRIES):
-                if k >= len(y):
-                    break
-                both = _common(sets[x], sets[y[k]])
-                if comp[y[k]] != comp[x] and 100 * both >= percent * (len(sets[x]) + len(sets[y[k]]) - both):
-                    join(x, y[k])
-            y = y[TRIES:]
-            y = y[comp[y] != comp[x]]
+            for k in y[np.argsort(-est, kind="stable")[: min(TRIES, int((est >= least).sum()))]]:
+                both = _common(sets[x], sets[k])
+                if comp[k] != comp[x] and 100 * both >= percent * (len(sets[x]) + len(sets[k]) - both):
+                    join(x, k)
+        for x in b.asks:  # then all that are still in other components
+            y = b.candidates(x, comp, percent)
+            if len(y):
+                y = y[b.estimates(x, y) >= least]
             if len(y):
                 postings = postings or _Postings(sets)
                 both = postings.common(sets[x])[y]
