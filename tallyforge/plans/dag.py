@@ -12,7 +12,7 @@ from tallyforge.operators.checks import accepted, between, enforce, length_is, m
 from tallyforge.plans import warehouse as w
 from tallyforge.plans.ingest import CLEAN
 from tallyforge.plans.store import TableStore
-from tallyforge.schemas import CATEGORIES, CURRENCIES, RAW, STATUSES, TYPES
+from tallyforge.schemas import CATEGORIES, CURRENCIES, RAW, STATUSES, TYPES, table_name
 
 
 @dataclass(frozen=True)
@@ -25,11 +25,6 @@ class Model:
     checks: Callable[[dict[str, DataFrame]], list] = field(default=lambda t: [])
 
 
-def table_name(layer: str | None, name: str, target: str = "default") -> str:
-    """A model's own layer as it is written, or else the target one."""
-    return f"{(layer or target).strip()}.{name}"
-
-
 def _raw_checks() -> list:
     return [*map(not_null, [f.name for f in RAW if f.name != "id"]), accepted("currency", CURRENCIES), accepted("transaction_type", TYPES), accepted("merchant_category", CATEGORIES), accepted("status", STATUSES), unique("natural_key_hash")]
 
@@ -46,36 +41,37 @@ def _fact_checks(t: dict) -> list:
     names = "transaction_sk transaction_id account_id currency_sk transaction_date amount_original amount currency transaction_type status country_code merchant_category"
     return [
         *map(not_null, names.split()), unique("transaction_sk"), unique("transaction_id"), between("amount", 0, strictly=True), between("transaction_date", "2024-01-01", "2024-04-30"), accepted("merchant_category", CATEGORIES),
-        relates("account_id", t["gold.dim_account"], "account_id"), relates("merchant_sk", t["gold.dim_merchant"], "merchant_sk"), relates("currency_sk", t["gold.currency"], "currency_sk"), relates("transaction_date", t["gold.dim_date"], "date_day"),
+        relates("account_id", t[ACCOUNTS], "account_id"), relates("merchant_sk", t[MERCHANTS], "merchant_sk"), relates("currency_sk", t[CURRENCY], "currency_sk"), relates("transaction_date", t[DAYS], "date_day"),
     ]
 
 
 def _mart_checks(t: dict) -> list:
     names = "account_id transaction_date total_debit_amount total_credit_amount net_amount transaction_count distinct_merchants updated_at"
     return [
-        unique("account_id", "transaction_date"), *map(not_null, names.split()), relates("account_id", t["gold.dim_account"], "account_id"), between("total_debit_amount", 0), between("total_credit_amount", 0),
+        unique("account_id", "transaction_date"), *map(not_null, names.split()), relates("account_id", t[ACCOUNTS], "account_id"), between("total_debit_amount", 0), between("total_credit_amount", 0),
         between("transaction_count", 1), accepted("top_category", CATEGORIES),
     ]
 
 
-SILVER, MART = "silver.transactions", "marts.daily_account_summary"
+SILVER, MART = table_name("silver", "transactions"), table_name("marts", "daily_account_summary")
+ACCOUNTS, MERCHANTS, DAYS, CURRENCY, FACT = (table_name("gold", n) for n in ("dim_account", "dim_merchant", "dim_date", "currency", "fact_transaction"))
 
 
 def models(spark) -> list[Model]:
     """The warehouse above the raw table."""
     return [
         Model(SILVER, lambda t: w.silver(t[CLEAN].drop("batch_id")), (CLEAN,), _silver_checks),
-        Model("gold.dim_account", lambda t: w.dim_account(t[SILVER]), (SILVER,), lambda t: [unique("account_id"), not_null("account_id")]),
-        Model("gold.dim_merchant", lambda t: w.dim_merchant(t[SILVER]), (SILVER,), lambda t: [unique("merchant_sk"), not_null("merchant_sk"), unique("merchant_name"), not_null("merchant_name")]),
-        Model("gold.dim_date", lambda t: w.dim_date(t[SILVER]), (SILVER,), lambda t: [unique("date_day"), not_null("date_day")]),
+        Model(ACCOUNTS, lambda t: w.dim_account(t[SILVER]), (SILVER,), lambda t: [unique("account_id"), not_null("account_id")]),
+        Model(MERCHANTS, lambda t: w.dim_merchant(t[SILVER]), (SILVER,), lambda t: [unique("merchant_sk"), not_null("merchant_sk"), unique("merchant_name"), not_null("merchant_name")]),
+        Model(DAYS, lambda t: w.dim_date(t[SILVER]), (SILVER,), lambda t: [unique("date_day"), not_null("date_day")]),
         Model(
-            "gold.currency",
+            CURRENCY,
             lambda t: w.dim_currency(spark),
             (),
             lambda t: [unique("currency_sk"), not_null("currency_sk"), unique("currency_code"), not_null("currency_code"), length_is("currency_code", 3), not_null("currency_name"), not_null("usd_exchange_rate"), between("usd_exchange_rate", 0, strictly=True)],
         ),
-        Model("gold.fact_transaction", lambda t: w.fact_transaction(t[SILVER], t["gold.dim_merchant"], t["gold.currency"]), (SILVER, "gold.dim_account", "gold.dim_merchant", "gold.dim_date", "gold.currency"), _fact_checks),
-        Model(MART, lambda t: w.daily_account_summary(t["gold.fact_transaction"], t["gold.dim_merchant"]), ("gold.fact_transaction", "gold.dim_account", "gold.dim_merchant"), _mart_checks),
+        Model(FACT, lambda t: w.fact_transaction(t[SILVER], t[MERCHANTS], t[CURRENCY]), (SILVER, ACCOUNTS, MERCHANTS, DAYS, CURRENCY), _fact_checks),
+        Model(MART, lambda t: w.daily_account_summary(t[FACT], t[MERCHANTS]), (FACT, ACCOUNTS, MERCHANTS), _mart_checks),
     ]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions.keys import surrogate_key
@@ -57,12 +58,17 @@ def fact_transaction(history: DataFrame, merchants: DataFrame, currencies: DataF
 def daily_sums(df: DataFrame, account: str, day: str, kind: str, amount: str, category: str, counted: str, listed: str, debit, credit) -> DataFrame:
     """Per account and day: debits, credits, net, count, distinct ``counted``, top category, sorted ``listed``.
 
-    One aggregate by category feeds the one by day, so the input is read once and
-    needs no join or window; both combine before their shuffles.
+    The aggregate by category and ``counted`` feeds one by category and that one by
+    day, so the input is read once; all combine before their shuffles, and no row
+    holds a list that grows but that of ``listed``, whose values are few. Of a
+    ``counted`` value's rows on a day the one of its least category counts.
     """
     a = F.col(amount)
     plus = lambda v: F.sum(F.when(F.col(kind) == v, a))
-    by_category = df.groupBy(account, day, category).agg(plus(debit).alias("d"), plus(credit).alias("c"), F.sum(a).alias("total"), F.count(F.lit(1)).alias("n"), F.collect_set(counted).alias("who"), F.collect_set(listed).alias("what"))
+    each = df.groupBy(account, day, category, counted).agg(plus(debit).alias("d"), plus(credit).alias("c"), F.sum(a).alias("total"), F.count(F.lit(1)).alias("n"), F.collect_set(listed).alias("what"))
+    first = F.row_number().over(W.partitionBy(account, day, counted).orderBy(category)) == 1
+    each = each.withColumn("one", (first & F.col(counted).isNotNull()).cast("long"))
+    by_category = each.groupBy(account, day, category).agg(*[F.sum(x).alias(x) for x in ("d", "c", "total", "n", "one")], F.collect_set("what").alias("what"))
     debits, credits = F.coalesce(F.sum("d"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))
     # The largest total first and a null last, then the name.
     rank = F.struct(F.col("total").isNull(), -F.col("total"), F.col(category))
@@ -71,9 +77,9 @@ def daily_sums(df: DataFrame, account: str, day: str, kind: str, amount: str, ca
         credits.alias("total_credit_amount"),
         (credits - debits).alias("net_amount"),
         F.sum("n").alias("transaction_count"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("who")))).cast("long").alias("distinct_merchants"),
+        F.sum("one").alias("distinct_merchants"),
         F.min_by(category, rank).alias("top_category"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("what")))), ", ").alias("currencies"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("what"))))), ", ").alias("currencies"),
     )
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.functions.keys import natural_key, shown, surrogate_key
+from tallyforge.functions.keys import natural_key, shown, surrogate_key, utc
 from tallyforge.operators import checks
 from tallyforge.operators.dedup import first_wins, insert_new, not_in
-from tallyforge.operators.rules import Rule, error_reason, valued
+from tallyforge.operators.rules import Rule, error_reason, lenient_amount, valid_stamp, validate, valued
 from tallyforge.operators.scd2 import scd2
-from tallyforge.plans.warehouse import daily_sums, dim_currency, dim_date
-from tallyforge.schemas import RATES
+from tallyforge.plans.warehouse import FORMAT, daily_sums, dim_currency, dim_date
+from tallyforge.schemas import BUSINESS, CATEGORIES, CURRENCIES, RATES, STATUSES, TYPES
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,6 +103,31 @@ def classify_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).filter("error_reason is not null").select("o_orderkey", "error_reason")
 
 
+#: Orders as transactions, with what each rule refuses put in by the order's number.
+_DIRTY = """
+    SELECT o_orderkey,
+        CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'TXN-12' WHEN 2 THEN 'TXN-00001' ELSE concat('TXN-', lpad(CAST(o_orderkey % 10000 AS varchar(8)), 4, '0')) END AS transaction_id,
+        CASE o_orderkey % 13 WHEN 1 THEN 'ACC-1' WHEN 2 THEN 'acc-0001' ELSE concat('ACC-', lpad(CAST(o_custkey % 10000 AS varchar(8)), 4, '0')) END AS account_id,
+        CASE o_orderkey % 17 WHEN 0 THEN '2024-11-31T14:22:00Z' WHEN 1 THEN '2024-04-15 09:30:00' WHEN 2 THEN concat(substr(CAST(o_orderdate AS varchar(32)), 1, 10), 'T23:59:59+00:00') WHEN 3 THEN '2024-2-03T00:00:00Z'
+            WHEN 4 THEN '2023-02-29T00:00:00Z' ELSE concat(substr(CAST(o_orderdate AS varchar(32)), 1, 10), 'T10:30:00Z') END AS transaction_date,
+        CASE o_orderkey % 9 WHEN 0 THEN 'abc' WHEN 1 THEN '-12.5' WHEN 2 THEN '0' WHEN 3 THEN '' WHEN 4 THEN ' 12.50 ' WHEN 5 THEN '1e3' WHEN 6 THEN 'NaN' WHEN 7 THEN NULL ELSE '7943.57' END AS amount,
+        CASE o_orderkey % 8 WHEN 0 THEN 'XXX' WHEN 1 THEN 'usd' WHEN 2 THEN 'JPY' ELSE 'EUR' END AS currency,
+        CASE o_orderkey % 5 WHEN 0 THEN 'Credit' WHEN 1 THEN 'credit' ELSE 'debit' END AS transaction_type,
+        CASE WHEN o_orderkey % 23 = 0 THEN '   ' WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'Shop' END AS merchant_name,
+        CASE o_orderkey % 7 WHEN 0 THEN 'Finance' WHEN 1 THEN 'fast_food' ELSE 'retail' END AS merchant_category,
+        CASE o_orderstatus WHEN 'P' THEN 'Completed' ELSE 'completed' END AS status,
+        CASE o_orderkey % 6 WHEN 0 THEN 'UK' WHEN 1 THEN 'EN' WHEN 2 THEN 'NA' ELSE 'NL' END AS country_code
+    FROM orders"""
+
+
+def rules_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions' own rules, normalised times, lenient amounts and typed dates, over rows that break each of them."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("tallyforge_orders")
+    rows = validate(spark.sql(_DIRTY.replace("FROM orders", "FROM tallyforge_orders")))
+    when = F.when(valid_stamp(F.col("transaction_date")), F.to_timestamp(utc(F.col("transaction_date")), FORMAT))
+    return rows.select("o_orderkey", "error_reason", utc(F.col("transaction_date")).alias("stamp"), lenient_amount(F.col("amount")).alias("amount"), F.to_date(when).cast("string").alias("day"), F.hour(when).cast("long").alias("hour"))
+
+
 _LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -135,10 +160,10 @@ def insert_new_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hwm_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events from the high-water mark less seven days on, against a one-row aggregate."""
+    """Events from the high-water mark less seven days on. The mark is one row of state, so the scan gets it as a bound."""
     e = read(spark, sf_dir, "events")
-    mark = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since"))
-    return e.join(F.broadcast(mark), F.col("ts") >= F.col("since")).select("event_id", "user_id", "event_type")
+    since = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).cast("string").alias("since")).first().since
+    return e.filter(F.col("ts") >= F.lit(since).cast(e.schema["ts"].dataType)).select("event_id", "user_id", "event_type")
 
 
 def monotone_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +224,7 @@ QUERIES = {
     "natural_key_hash": natural_key_hash,
     "classify_valid": classify_valid,
     "classify_quarantine": classify_quarantine,
+    "rules_dirty": rules_dirty,
     "dedup_first_wins": dedup_first_wins,
     "anti_existing": anti_existing,
     "semi_existing": semi_existing,
@@ -234,7 +260,29 @@ _CLASSIFIED = r"""
             CASE WHEN c_nationkey >= 20 THEN 'invalid_nation:' || c_nationkey END) END AS e FROM j)"""
 _LINE = ", ".join(_LINE_ORDER)
 
+#: In SQL: fields that must be there, numbers and times that are well formed.
+_MISSING = ", ".join(f"CASE WHEN {c} IS NULL THEN 'missing_field:{c}' END" for c in BUSINESS)
+_IS_NUMBER = r"regexp_full_match(amount, '\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')"
+_IN = lambda values: ", ".join(f"'{v}'" for v in values)
+
 SQL = {
+    "rules_dirty": rf"""
+        WITH t AS ({_DIRTY}),
+        u AS (SELECT *, replace(transaction_date, '+00:00', 'Z') AS stamp, CASE WHEN {_IS_NUMBER} THEN TRY_CAST(trim(amount) AS DOUBLE) END AS a FROM t),
+        v AS (SELECT *, CASE WHEN regexp_full_match(stamp, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z') THEN try_strptime(stamp, '%Y-%m-%dT%H:%M:%SZ') END AS read_as, concat_ws('; ', {_MISSING}) AS missing FROM u),
+        w AS (SELECT *, concat_ws('; ',
+            CASE WHEN NOT regexp_full_match(transaction_id, 'TXN-[0-9]{{4}}') THEN concat('invalid_transaction_id:', transaction_id) END,
+            CASE WHEN NOT regexp_full_match(account_id, 'ACC-[0-9]{{4}}') THEN concat('invalid_account_id:', account_id) END,
+            CASE WHEN read_as IS NULL THEN concat('invalid_transaction_date:', transaction_date) END,
+            CASE WHEN a <= 0 THEN concat('non_positive_amount:', CASE a WHEN 0 THEN '0.0' ELSE '-12.5' END) END,
+            CASE WHEN a IS NULL THEN concat('invalid_amount:', amount) END,
+            CASE WHEN currency NOT IN ({_IN(CURRENCIES)}) THEN concat('invalid_currency:', currency) END,
+            CASE WHEN transaction_type NOT IN ({_IN(TYPES)}) THEN concat('invalid_transaction_type:', transaction_type) END,
+            CASE WHEN trim(merchant_name) = '' THEN 'blank_merchant_name' END,
+            CASE WHEN merchant_category NOT IN ({_IN(CATEGORIES)}) THEN concat('invalid_merchant_category:', merchant_category) END,
+            CASE WHEN status NOT IN ({_IN(STATUSES)}) THEN concat('invalid_status:', status) END,
+            CASE WHEN country_code IN ('UK', 'EN') THEN concat('invalid_country_code:', country_code) END) AS broken FROM v)
+        SELECT o_orderkey, nullif(CASE WHEN missing <> '' THEN missing ELSE broken END, '') AS error_reason, stamp, a AS amount, CAST(CAST(read_as AS DATE) AS VARCHAR) AS day, hour(read_as) AS hour FROM w""",
     "daily_summary": """
         WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
         d AS (SELECT o_custkey, month, coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN amount END), 0) AS deb, coalesce(sum(CASE WHEN o_orderstatus = 'O' THEN amount END), 0) AS cre, count(*) AS transaction_count,

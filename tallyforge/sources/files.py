@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -28,12 +30,16 @@ class NoRecords(RuntimeError):
     pass
 
 
+#: What a source fails with; other errors are mistakes of the caller's and go up.
+FAILURES = (NoRecords, PySparkException, Py4JError, OSError)
+
+
 def first_with_rows(*sources: Callable[[], DataFrame]) -> DataFrame:
     """The first source that gives rows without an error.
 
     Reads are lazy, so each source is read in full once and kept, and what is
-    returned is not fetched again. The last source's error is raised; without any
-    rows anywhere NoRecords is.
+    returned is not fetched again; the caller unpersists it when done. The last
+    source's error is raised; without any rows anywhere NoRecords is.
     """
     for i, make in enumerate(sources):
         try:
@@ -42,7 +48,7 @@ def first_with_rows(*sources: Callable[[], DataFrame]) -> DataFrame:
                 return df
             df.unpersist()
             raise NoRecords("the source has no records")
-        except Exception as e:
+        except FAILURES as e:
             if i + 1 == len(sources):
                 raise
             log.warning("source %d failed, trying the next: %s", i + 1, type(e).__name__)

@@ -106,3 +106,76 @@ def test_stream(spark, store, tmp_path):
     assert [r["inserted"] for r in load_stream(spark, store, f"file://{inbox}", f"file://{tmp_path}/cp")] == [1]
     (inbox / "b.csv").write_text(head + "\n" + ",".join(txn(1)[1:]) + "\n" + ",".join(txn(2, amount="4")[1:]) + "\n")
     assert [(r["inserted"], r["duplicates"]) for r in load_stream(spark, store, f"file://{inbox}", f"file://{tmp_path}/cp")] == [(1, 1)]
+
+
+def test_compaction_keeps_what_was_processed(spark, store):
+    I.full_load(store, rows(spark, txn(1)), "2024-04-01T00:00:00Z")
+    I.incremental_load(store, rows(spark, txn(1), txn(2, date="2024-03-02T00:00:00Z")), "2024-04-02T00:00:00Z")
+    I.land(store, rows(spark, txn(3, date="2024-03-03T00:00:00Z"))(None), "2024-04-03T00:00:00Z")  # not processed yet
+    with store.commit() as c:
+        assert len(c.compact(I.LAND)) == 2 and len(c.compact(I.CLEAN)) == 1
+    got = I.process(store, "2024-04-03T00:00:00Z")
+    assert (got["read"], got["inserted"], got["duplicates"]) == (1, 1, 0)
+    assert I.process(store, "2024-04-04T00:00:00Z")["read"] == 0
+    assert I.reconcile(store).first().difference == 0 and store.read(I.CLEAN).count() == 3
+
+
+def test_two_writers(spark, store):
+    I.full_load(store, rows(spark, txn(1)), "2024-04-01T00:00:00Z")
+    I.land(store, rows(spark, txn(2))(None), "2024-04-02T00:00:00Z")
+    with store.commit(), pytest.raises(RuntimeError, match="another writer"):
+        I.process(store, "2024-04-02T00:00:00Z")
+    assert I.process(store, "2024-04-02T00:00:00Z")["read"] == 1
+    assert I.process(store, "2024-04-02T00:00:00Z")["read"] == 0
+
+
+def test_stored_records_are_searched_once_and_by_date(spark, store, capsys):
+    from tallyforge.operators.dedup import classify
+
+    I.full_load(store, rows(spark, *[txn(n, date=f"2024-03-{n:02d}T00:00:00Z") for n in range(1, 20)]), "2024-04-01T00:00:00Z")
+    stored = store.read(I.CLEAN).filter("transaction_date between '2024-03-05T00:00:00Z' and '2024-03-06T00:00:00Z'")
+    landed = store.read(I.LAND).drop("batch_id")
+    classify(landed, stored, "x")[1].explain("formatted")
+    plan = capsys.readouterr().out
+    tree = plan[: plan.index("\n\n")]
+    assert tree.count("Join") == 1 and "GreaterThanOrEqual(transaction_date,2024-03-05" in plan
+
+
+def test_vacuum(spark, store, tmp_path):
+    for day in (1, 2, 3):
+        I.incremental_load(store, rows(spark, txn(day, date=f"2024-03-0{day}T00:00:00Z")), f"2024-04-0{day}T00:00:00Z")
+    before = {t: store.read(t).count() for t in I.TABLES}
+    gone = store.vacuum(keep=1)
+    assert gone and all(x.startswith(I.MARK) for x in gone) and store.vacuum(keep=1) == []
+    assert {t: store.read(t).count() for t in I.TABLES} == before
+    assert len(list((tmp_path / "store/_manifest").glob("*.json"))) == 1
+
+
+def test_tables_are_made_once_and_described(spark, store):
+    I.ensure_tables(store)
+    versions = store._versions()
+    I.ensure_tables(store)
+    assert store._versions() == versions
+    told = {r.name: r for r in store.describe(I.CLEAN).collect()}
+    assert told[I.CLEAN].comment and told["amount"].required and told["amount"].type == "double" and all(told[c].comment for c in BUSINESS)
+
+
+def test_three_made_up_records(spark, store):
+    """One new record, one that breaks two rules, and one with an id that exists but another key; a second run adds none of them."""
+    I.full_load(store, rows(spark, txn(160, merchant="IKEA")), "2024-04-01T00:00:00Z")
+    made_up = [
+        ("1", "TXN-9901", "ACC-1001", "2024-04-05T10:30:00Z", "250.00", "USD", "debit", "SyntheticMerchant", "retail", "completed", "US"),
+        ("2", "TXN-9902", "ACC-1002", "2024-04-10T14:00:00Z", "-999.99", "INVALID_CUR", "debit", "BadMerchant", "retail", "completed", "US"),
+        ("3", "TXN-0160", "ACC-1005", "2024-04-15T09:00:00Z", "5000.00", "USD", "credit", "IKEA", "home_and_garden", "completed", "NL"),
+    ]
+
+    def insert(run_ts):
+        if store.read(I.LAND).filter("transaction_id in ('TXN-9901', 'TXN-9902')").isEmpty():
+            I.land(store, spark.createDataFrame(made_up, SCHEMA), run_ts)
+        return I.process(store, run_ts)
+
+    got = insert("2024-04-16T00:00:00Z")
+    assert (got["read"], got["inserted"], got["invalid"], got["watermark"]) == (3, 2, 1, "2024-04-15T09:00:00Z")
+    assert [r.error_reason for r in store.read(I.REFUSED).collect()] == ["non_positive_amount:-999.99; invalid_currency:INVALID_CUR"]
+    assert store.read(I.CLEAN).filter("transaction_id = 'TXN-0160'").select("natural_key_hash").distinct().count() == 2
+    assert insert("2024-04-17T00:00:00Z")["read"] == 0
