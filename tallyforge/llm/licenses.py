@@ -71,10 +71,19 @@ def template_grams(templates: DataFrame) -> DataFrame:
 def votes(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
     """Rows (uid, tid, pos, tpos) of all k-grams of texts that a template has; a row with null tid for each text.
 
-    The words stay in an array beside the exploded place, so a k-gram is hashed
-    and looked up in generated code without being copied, and only the few that
-    match are written out.
+    With a template table that is broadcast, the words stay in an array beside the
+    exploded place, so a k-gram is hashed and looked up in generated code without
+    being copied, and only the few that match are written out. With a larger one only
+    places and hashes are shuffled, and the words of texts with a match once more.
     """
+    if n_grams > SMALL_GRAMS:
+        docs = staged(docs.select("uid", "ws"), "license-words")
+        place = docs.filter(F.size("ws") >= K).select("uid", "ws", F.posexplode("ws").alias("pos", "w"))
+        hashed = place.filter(F.col("pos") <= F.size("ws") - K).select("uid", "pos", F.xxhash64(*[F.get("ws", F.col("pos") + i) for i in range(K)]).alias("hash"))
+        hit = hashed.join(grams, "hash").drop("hash").join(docs, "uid")
+        hit = hit.filter(F.slice("ws", F.col("pos") + 1, K) == F.col("tgram")).select("uid", F.size("ws").cast("long").alias("n_words"), "tid", "pos", "tpos", "tgrams")
+        none = docs.select("uid", F.size("ws").cast("long").alias("n_words"))
+        return hit.unionByName(none, allowMissingColumns=True)
     ws = docs.select("uid", F.size("ws").cast("long").alias("n_words"), "ws", F.posexplode_outer("ws").alias("pos", "w"))
     key = F.when(F.col("pos") <= F.size("ws") - K, F.xxhash64(*[F.get("ws", F.col("pos") + i) for i in range(K)]))
     hit = ws.withColumn("hash", key).join(F.broadcast(grams) if n_grams <= SMALL_GRAMS else grams, "hash", "left")

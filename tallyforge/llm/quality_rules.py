@@ -7,9 +7,7 @@ plain rules on length and repetition. Short documents are not judged by
 histograms, as theirs are noise.
 
 What is usual comes from medians over the language's distinct texts, which junk
-does not move onto itself while it is the lesser part. The means over all
-documents, which large shares of junk do move, are there as the SQL of the query
-op7 spells them out.
+does not move onto itself while it is the lesser part.
 
 Everything here is DataFrame functions that run in the JVM.
 """
@@ -131,11 +129,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def _distances(rows: DataFrame, refs: DataFrame, common_from: int) -> DataFrame:
+def _distances(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """``rows`` with class_distance and word_distance to the references of their language; null where there is none to ask."""
     out = rows.join(few(refs), "lang", "left")
     out = out.withColumn("class_distance", F.when(F.col("n_words") >= GUARD_WORDS, js_distance(F.col("chars"), F.col("ref_chars"))))
-    return out.withColumn("word_distance", F.when(F.col("n_words") >= common_from, js_distance(F.col("common"), F.col("ref_common"))))
+    return out.withColumn("word_distance", F.when(F.col("n_words") >= GUARD_WORDS, js_distance(F.col("common"), F.col("ref_common"))))
 
 
 def _odd() -> Column:
@@ -166,13 +164,13 @@ def _usual(rows: DataFrame) -> DataFrame:
     each = staged(rows.select("lang", "chars", "common", "n_words", "word_chars").distinct(), "quality-texts")
     middle = _references(each, lambda c: F.percentile(F.round(c, 4), F.lit(0.5))).filter(F.col("n_docs") >= GUARD_DOCS)
     middle = staged(middle.withColumns({c: _scaled(F.col(c)) for c in ("ref_chars", "ref_common")}), "quality-medians")
-    near = _references(_distances(each.join(few(middle.select("lang")), "lang", "left_semi"), middle, GUARD_WORDS).filter(~_odd()).drop("n_docs", "ref_chars", "ref_common"), F.avg)
+    near = _references(_distances(each.join(few(middle.select("lang")), "lang", "left_semi"), middle).filter(~_odd()).drop("n_docs", "ref_chars", "ref_common"), F.avg)
     near = near.select("lang", F.col("ref_chars").alias("near_chars"), F.col("ref_common").alias("near_common"))
     pick = lambda a, b: F.when(F.get(a, F.lit(0)).isNotNull(), F.col(a)).otherwise(F.col(b))
     return middle.join(near, "lang", "left").select("lang", "n_docs", pick("near_chars", "ref_chars").alias("ref_chars"), pick("near_common", "ref_common").alias("ref_common"))
 
 
-def verdicts(docs: DataFrame, as_sql: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, the distances, base_failed and kept.
 
     base_failed: fewer than MIN_WORDS words, or over half of the words in
@@ -183,17 +181,12 @@ def verdicts(docs: DataFrame, as_sql: bool = False) -> DataFrame:
     texts that a reference can stand on), for common words also where the
     language has no list. A null text has no words and fails. Repeated rows are
     judged alike. An empty table gives no rows. Only doc_id, lang and text are read.
-
-    With ``as_sql`` the references are plain means over all documents, junk and
-    copies included, and texts of fewer than GUARD_WORDS_COMMON words are not
-    asked for common words, as the SQL of the query has them.
     """
     rows = staged(features(docs), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     sound = rows.filter(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS) & F.col("lang").isNotNull())
-    refs = _references(sound, F.avg).filter(F.col("n_docs") >= GUARD_DOCS) if as_sql else _usual(sound)
-    out = _distances(rows, staged(refs, "quality-refs"), GUARD_WORDS_COMMON if as_sql else GUARD_WORDS)
+    out = _distances(rows, staged(_usual(sound), "quality-refs"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~_odd()).alias("kept"))
 
 

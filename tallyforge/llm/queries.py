@@ -35,8 +35,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL below fixes plain means as references; the pipeline's stage takes those that junk can't move.
-    return quality_rules.verdicts(read(spark, sf_dir, "documents"), as_sql=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.verdicts(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +62,10 @@ def _js(own: str, ref: str, n: int) -> str:
     return f"sqrt(greatest(0, ({side(own, ref)} + {side(ref, own)}) / 2))"
 
 
+#: Whether a text is far from its language's histograms of character classes or of common words.
+_ODD = f"""(coalesce({_js("chars", "rc", 8)} > {_RULES.CLASS_LIMIT}, false)
+    OR coalesce({_js("common", "rm", 11)} > CASE WHEN n_words < {_RULES.GUARD_WORDS_COMMON} THEN {_RULES.SHORT_WORD_LIMIT} ELSE {_RULES.WORD_LIMIT} END, false))"""
+
 SQL = {
     "op7_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -77,11 +80,14 @@ SQL = {
               FROM w LEFT JOIN again USING (row)),
         f AS (SELECT *, n_words < {_RULES.MIN_WORDS} OR 100 * n_repeat_words > {_RULES.MAX_REPEAT_PERCENT} * n_words AS base_failed,
                 [x / size FOR x IN list_append(cs, total - list_sum(cs))] AS chars, [x / greatest(n_words, 1) FOR x IN list_append(ms, n_words - list_sum(ms))] AS common FROM b),
-        r AS (SELECT lang, count(*) AS n, [{", ".join(f"avg(chars[{i}])" for i in range(1, 9))}] AS rc, [{", ".join(f"avg(common[{i}]) FILTER (n_words >= {_RULES.GUARD_WORDS_COMMON})" for i in range(1, 12))}] AS rm
-              FROM f WHERE NOT base_failed AND n_words >= {_RULES.GUARD_WORDS} AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {_RULES.GUARD_DOCS})
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND NOT coalesce(n_words >= {_RULES.GUARD_WORDS} AND {_js("chars", "rc", 8)} > {_RULES.CLASS_LIMIT}, false)
-                AND NOT coalesce(n_words >= {_RULES.GUARD_WORDS_COMMON} AND common IS NOT NULL AND rm[1] IS NOT NULL AND {_js("common", "rm", 11)} > {_RULES.WORD_LIMIT}, false) AS kept
+        e AS (SELECT DISTINCT lang, chars, common, n_words, word_chars FROM f WHERE NOT base_failed AND n_words >= {_RULES.GUARD_WORDS} AND lang IS NOT NULL),
+        m0 AS (SELECT lang, [{", ".join(f"quantile_cont(round(chars[{i}], 4), 0.5)" for i in range(1, 9))}] AS rc,
+                [{", ".join(f"quantile_cont(round(common[{i}], 4), 0.5) FILTER (n_words >= {_RULES.GUARD_WORDS_COMMON})" for i in range(1, 12))}] AS rm FROM e GROUP BY lang HAVING count(*) >= {_RULES.GUARD_DOCS}),
+        m AS (SELECT lang, [x / greatest(list_sum(rc), 1e-9) FOR x IN rc] AS rc, [x / greatest(list_sum(rm), 1e-9) FOR x IN rm] AS rm FROM m0),
+        a AS (SELECT lang, [{", ".join(f"avg(chars[{i}])" for i in range(1, 9))}] AS rc, [{", ".join(f"avg(common[{i}]) FILTER (n_words >= {_RULES.GUARD_WORDS_COMMON})" for i in range(1, 12))}] AS rm
+              FROM e JOIN m USING (lang) WHERE NOT {_ODD} GROUP BY lang),
+        r AS (SELECT m.lang, CASE WHEN a.rc[1] IS NOT NULL THEN a.rc ELSE m.rc END AS rc, CASE WHEN a.rm[1] IS NOT NULL THEN a.rm ELSE m.rm END AS rm FROM m LEFT JOIN a USING (lang))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT {_ODD} AS kept
         FROM f LEFT JOIN r USING (lang)""",
     "op8_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),

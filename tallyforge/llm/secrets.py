@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import joined, places, staged, with_parts
+from tallyforge.llm.common import SMALL_ROWS, joined, places, staged, with_parts
 
 #: Base kinds in the order of reports; the least length of the value.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -34,6 +34,8 @@ EXTRA = {
 
 #: A value with more owners than this is a copied example.
 MAX_OWNERS = 2
+#: Tasks that the rows of one value are dealt to.
+SALT = 16
 #: Distinct characters that a live-looking value has at least.
 MIN_VARIETY = 10
 #: Words that mark a placeholder.
@@ -65,18 +67,26 @@ def candidates(docs: DataFrame, repo: str, owner: Column) -> tuple[DataFrame, Da
     # Distinct pairs first, so that a value held by a third of all rows meets as one row for each owner and task.
     pairs = each.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
     held = pairs.groupBy("hash").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"))
-    common = held.filter(F.col("n_owners") > MAX_OWNERS)
-    out = each.join(common.select("hash", "n_repos", "n_owners"), "hash", "left")
-    return rows.select("uid", "doc_id"), out.withColumn("live", F.col("real") & F.col("n_owners").isNull())
+    told = staged(held.filter(F.col("n_repos") > 1), "secret-owners")
+    # A value may be on a third of all rows, so its rows are dealt over SALT tasks where the table is not broadcast.
+    if told.count() <= SMALL_ROWS:
+        out = each.join(F.broadcast(told), "hash", "left")
+    else:
+        salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = each.withColumn("salt", F.pmod(F.xxhash64("uid", "start"), F.lit(SALT)).cast("int")).join(salted, ["hash", "salt"], "left").drop("salt")
+    owners, repos = F.coalesce("n_owners", F.lit(1)), F.coalesce("n_repos", F.lit(1))
+    out = out.withColumn("copied", owners > MAX_OWNERS).withColumn("live", F.col("real") & (owners <= MAX_OWNERS)).withColumn("reused", F.col("live") & (repos > owners))
+    return rows.select("uid", "doc_id"), out
 
 
 def scan(docs: DataFrame, repo: str = "source", owner: Column | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_reused.
 
     base_sha256 is of the base spans, ``spans`` has these and the live-looking
     spans of other kinds, as kind:start:end by start and then kind. n_live counts
     the candidates that look live, n_copied those whose value more than
-    MAX_OWNERS owners hold. ``owner`` is by default what stands before a slash in
+    MAX_OWNERS owners hold, n_reused the live-looking ones that stand in more
+    repositories than they have owners. ``owner`` is by default what stands before a slash in
     the repository's name; a null repository counts as one of its own. A null
     text is empty and has no spans. Repeated rows each get their row. An empty
     table gives no rows. Only doc_id, text and ``repo`` are read.
@@ -92,7 +102,8 @@ def scan(docs: DataFrame, repo: str = "source", owner: Column | None = None) ->
         F.sort_array(F.collect_list(F.when(is_base, span))).alias("base"),
         F.sort_array(F.collect_list(F.when(is_base | F.col("live"), span))).alias("all"),
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
-        F.count(F.when(F.col("n_owners").isNotNull(), 1)).alias("n_copied"),
+        F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
+        F.count(F.when(F.col("reused"), 1)).alias("n_reused"),
     )
     out = rows.join(by_doc, "uid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -103,4 +114,5 @@ def scan(docs: DataFrame, repo: str = "source", owner: Column | None = None) ->
         F.coalesce(joined(F.col("all")), F.lit("")).alias("spans"),
         zero("n_live"),
         zero("n_copied"),
+        zero("n_reused"),
     )

@@ -94,7 +94,19 @@ def test_secrets(spark, docs):
     shared = spark.createDataFrame([(i, f"use {key} here", f"owner{i}/r") for i in range(5)], "doc_id long, text string, source string")
     assert all(r.spans == "" and r.n_copied >= 1 for r in secrets.scan(shared).collect())
     own = shared.withColumn("source", F.concat(F.lit("one/r"), "doc_id"))
-    assert all(r.spans.startswith("vendor:4:") and r.n_live >= 1 for r in secrets.scan(own).collect())
+    assert all(r.spans.startswith("vendor:4:") and r.n_live >= 1 and r.n_reused >= 1 and not r.n_copied for r in secrets.scan(own).collect())
+
+
+def test_owners_are_told_by_a_join_too(spark, docs, monkeypatch):
+    want = sorted(map(str, secrets.scan(docs).collect()))
+    monkeypatch.setattr(secrets, "SMALL_ROWS", -1)
+    assert sorted(map(str, secrets.scan(docs).collect())) == want
+
+
+def test_many_templates_are_joined_by_hash(docs, monkeypatch):
+    want = sorted(map(str, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "SMALL_GRAMS", 0)
+    assert sorted(map(str, licenses.scan(docs).collect())) == want
 
 
 def test_personal_data(docs):
