@@ -42,6 +42,17 @@ def test_a_hot_group_writes_rows_in_proportion(spark, monkeypatch, block):
     assert written["near-links"] <= groups and written["near-flagged"] <= 2 * blocks * groups and written["near-dealt"] <= 2 * blocks * groups
 
 
+def test_components_by_steps_and_in_one_task(spark, monkeypatch):
+    from tallyforge.llm import components
+
+    r = random.Random(1)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1030)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one = sorted(map(tuple, components.components(df).collect()))
+    monkeypatch.setattr(components, "SMALL_LINKS", 0)
+    assert sorted(map(tuple, components.components(df).collect())) == one and (1030, 1000) in one
+
+
 def test_an_id_has_the_links_of_all_its_texts(spark):
     t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(1, t), (2, u), (9, t), (9, u), (4, t + " more"), (7, "alone here"), (None, u)]
