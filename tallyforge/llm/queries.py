@@ -66,7 +66,25 @@ def _js(own: str, ref: str, n: int) -> str:
 _ODD = f"""(coalesce({_js("chars", "rc", 8)} > {_RULES.CLASS_LIMIT}, false)
     OR coalesce({_js("common", "rm", 11)} > CASE WHEN n_words < {_RULES.GUARD_WORDS_COMMON} THEN {_RULES.SHORT_WORD_LIMIT} ELSE {_RULES.WORD_LIMIT} END, false))"""
 
+_L = licenses
+_TEMPLATES = ", ".join(f"({i}, '{label}', {str(i < len(_L.PHRASES)).lower()}, '{text}')" for i, (label, text) in enumerate([*_L.PHRASES, *_L.TEMPLATES]))
+
 SQL = {
+    "op1_license_scan": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        g AS (SELECT row, unnest(range(1, len(ws) - {_L.K - 2})) AS pos, unnest([array_to_string(ws[i:i + {_L.K - 1}], ' ') FOR i IN range(1, len(ws) - {_L.K - 2})]) AS gram FROM d WHERE len(ws) >= {_L.K}),
+        t AS (SELECT tid, label, exact, string_split(text, ' ') AS tws FROM (VALUES {_TEMPLATES}) AS x(tid, label, exact, text)),
+        tg AS (SELECT tid, len(tws) - {_L.K - 1} AS tgrams, unnest(range(1, len(tws) - {_L.K - 2})) AS tpos, unnest([array_to_string(tws[i:i + {_L.K - 1}], ' ') FOR i IN range(1, len(tws) - {_L.K - 2})]) AS gram FROM t),
+        v AS (SELECT row, tid, pos - tpos AS diag, tgrams, count(*) AS n_votes, list(DISTINCT tpos) AS held FROM g JOIN tg USING (gram) GROUP BY row, tid, diag, tgrams),
+        n AS (SELECT *, coalesce(diag - lag(diag) OVER (PARTITION BY row, tid ORDER BY diag) > {_L.MERGE}, true)::INT AS new FROM v),
+        p AS (SELECT *, sum(new) OVER (PARTITION BY row, tid ORDER BY diag) AS part FROM n),
+        s AS (SELECT row, tid, part, len(list_distinct(flatten(list(held)))) / max(tgrams) AS cover, count(*) FILTER (n_votes = tgrams) AS whole, min(diag) FILTER (n_votes = tgrams) AS first, max(diag) FILTER (n_votes = tgrams) AS last
+              FROM p GROUP BY row, tid, part),
+        b AS (SELECT row, sum(whole) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(last) FILTER (exact) AS last_word, max(cover) AS score,
+                array_to_string(list_sort(list(DISTINCT label) FILTER (exact AND whole > 0)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (exact AND whole > 0 OR cover >= {_L.COVERAGE})), ',') AS labels
+              FROM s JOIN t USING (tid) GROUP BY row)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, least(coalesce(score, 0.0), 1.0)::DOUBLE AS score
+        FROM d LEFT JOIN b USING (row)""",
     "op7_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, CASE lang {_LISTS} END AS most FROM d),
