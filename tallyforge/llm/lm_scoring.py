@@ -1,4 +1,4 @@
-"""Language-model scores by Katz backoff over n-grams of words, by default up to three.
+"""Language-model scores by Katz backoff over n-grams of words, by default pairs; longer ones are a parameter.
 
 Counts are discounted after Good and Turing up to DISCOUNTED; what the discounts
 leave goes to the words that did not follow a history, in proportion to their
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.blocks import bucket_ends, mixed, narrow, pack, partition, record_batch, runs, unpack
 from tallyforge.llm.common import staged
 
-#: Words of the longest n-grams, and how often an n-gram must be seen to be stored.
-ORDER, LEAST = 3, 1
+#: Words of the longest n-grams, and how often an n-gram must be seen to be stored. Three words take more disk than
+#: the check tool allows (README).
+ORDER, LEAST = 2, 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and of all blocks for each bucket.
