@@ -11,42 +11,52 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named or quoted in every document: the base phrases' places and the method's labels."""
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the byte-level vocabulary and decoded again, as digests."""
     return bpe.digests(read(spark, sf_dir, "documents"), bpe.default_path())
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, against its source's target."""
     return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base spans and the selected ones of looser kinds."""
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability after a model learned from those that are not held out."""
     return lm_scoring.score(read(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every document and whether the rules keep it."""
     return quality_rules.verdicts(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates that every document is in."""
     return near_dedup.near_groups(read(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts that every document is in, and whether it stays."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the base spans and the live-looking ones of other kinds."""
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
