@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
-from tallyforge.llm.common import read, staged
+from tallyforge.llm.common import read, release, staged_alone
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +43,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written and read again before the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged_alone(lambda f=stage, d=docs: f(spark, d, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -89,6 +89,17 @@ def release(*tables: DataFrame) -> None:
             df._staged_at = None
 
 
+def staged_alone(make, name: str) -> DataFrame:
+    """What ``make`` returns, staged; the tables that were staged for it alone are removed."""
+    before = len(_made)
+    out = staged(make(), name)
+    for spark, at in _made[before:]:
+        if at != out._staged_at:
+            _delete(spark, at)
+    _made[before:] = [x for x in _made[before:] if x[1] == out._staged_at]
+    return out
+
+
 #: A table of at most so many rows is broadcast where its rows are narrow.
 SMALL_ROWS = 10_000
 

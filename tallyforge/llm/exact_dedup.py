@@ -139,8 +139,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([hashlib.sha256(data).hexdigest()]), pa.array([data], pa.binary())], names=["text_sha256", "raw"])
 
 
-#: Rows to drop are broadcast up to so many.
-GONE = 400_000
+#: Narrow rows (of up to four numbers) are broadcast up to so many.
+NARROW = 200_000
 #: Members of a group that are compared with one copy of the kept text.
 SHARE = 256
 
@@ -189,9 +189,11 @@ def _groups(docs: DataFrame, huge: int) -> DataFrame:
     """What exact_groups returns, and ``h``."""
     prints = fingerprints(docs, huge)
     key = ["fp", "n_bytes"]
-    groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1")
-    members = prints.join(groups, key).filter("doc_id is not null").select("doc_id", "h", "text_sha256", *key, "keep", "size").dropDuplicates(["doc_id", "h", "text_sha256"])
-    texts = _raw(docs).join(members, ["doc_id", "h"])
+    groups = staged(prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1"), "groups")
+    members = prints.join(few(groups, NARROW), key).filter("doc_id is not null").select("doc_id", "h", "text_sha256", *key, "keep", "size").dropDuplicates(["doc_id", "h", "text_sha256"])
+    members = staged(members, "members")
+    # Where the members' ids can be broadcast, only their texts are shuffled.
+    texts = _raw(docs).join(few(members.select("doc_id", "h"), NARROW), ["doc_id", "h"], "left_semi").join(members, ["doc_id", "h"])
     odd = staged(
         texts.select("doc_id", "raw", "text_sha256", *key, "keep", "size")
         .mapInArrow(_member_chunks, CHUNKED)
@@ -204,9 +206,9 @@ def _groups(docs: DataFrame, huge: int) -> DataFrame:
     if not odd.isEmpty():  # equal fingerprints of different texts: the digest parts them
         prints = prints.join(few(odd.withColumn("odd", F.lit(True))), "text_sha256", "left").withColumn("other", F.when(F.col("odd"), F.col("text_sha256")).otherwise("")).drop("odd")
         key = [*key, "other"]
-        groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1")
+        groups = staged(prints.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep")).filter("size > 1"), "groups")
     keep = F.coalesce("keep", "doc_id")
-    return prints.join(groups, key, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "h")
+    return prints.join(few(groups, NARROW), key, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "h")
 
 
 def exact_groups(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
@@ -228,5 +230,5 @@ def exact_groups(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
 def exact_dedup(docs: DataFrame, huge: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows of one doc_id stay or go by their own text."""
     gone = _groups(docs, huge).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    gone = few(staged(gone, "gone"), GONE)
+    gone = few(staged(gone, "gone"), NARROW)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")

@@ -422,7 +422,7 @@ class _Search:
             if not more.isEmpty():
                 # A component's members keep it as their link; the new links join components.
                 comps = components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
-        release(found, rows)
+        release(found, rows, self.reps)
         return comps
 
     def _star(self, found: DataFrame) -> DataFrame:
