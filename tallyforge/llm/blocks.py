@@ -18,7 +18,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed piece; each byte by byte, all first bytes first, as that compresses well."""
     import zstandard
 
@@ -26,7 +26,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for x in arrays:
         head += [KINDS.index(x.dtype.str), len(x)]
     planes = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(np.array(head, "<i8").tobytes() + b"".join(planes))
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.blocks import bucket_ends, narrow, pack, partition, record_batch, runs, unpack
-from tallyforge.llm.common import staged
+from tallyforge.llm.common import release_part, staged
 
 #: Characters of a block of documents.
 BLOCK = 4 << 20
@@ -98,7 +98,9 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-_STATE = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("n_words", pa.int64())])
+#: A block's distinct words, and its documents with the places of its words.
+WORDS, PLACES = 0, 1
+_STATE = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("what", pa.binary()), ("n_words", pa.int64())])
 _ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("what", pa.binary())])
 #: A block's own row comes before its buckets'.
 _TOLD = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("what", pa.binary())])
@@ -106,7 +108,11 @@ _OWN = -1
 
 
 def _cut(split: Splitter, size: int):
-    """Rows (doc_id, text) to blocks: the distinct words in the order of their hashes, and the documents' words as ranks."""
+    """Rows (doc_id, text) to blocks: the distinct words in the order of their hashes, and the documents' words as numbers.
+
+    Words are numbered as they first occur, which gives common words small numbers
+    that pack well; with them goes the rank of each number's word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -118,12 +124,9 @@ def _cut(split: Splitter, size: int):
             ws = [w.encode() for w in known]
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
             order = np.argsort(hashes, kind="stable")
-            rank = np.empty(len(ws), np.int64)
-            rank[order] = np.arange(len(ws))
-            ids = rank[np.concatenate(places)] if places else rank[:0]
             words = pack(hashes[order], *_text_arrays([ws[k] for k in order]))
-            own = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(lens, "<i8"), narrow(ids))
-            return record_batch([(at << 32 | n, words, own, len(ws))], _STATE)
+            own = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(lens, "<i8"), narrow(np.argsort(order)), narrow(np.concatenate(places)), level=3)
+            return record_batch([(at << 32 | n, WORDS, words, len(ws)), (at << 32 | n, PLACES, own, 0)], _STATE)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -195,11 +198,11 @@ def _assemble(handed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, 1):
-            docs, no_id, lens, places = unpack(rows[0][2])
+            docs, no_id, lens, rank, places = unpack(rows[0][2])
             got = [unpack(r[2]) for r in rows[1:]]
             n_ids = np.concatenate([x[0] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
             flat = np.concatenate([x[1].astype(np.int32) for x in got]) if got else np.zeros(0, np.int32)
-            if len(places) and int(places.max()) >= len(n_ids):
+            if len(rank) != len(n_ids):
                 raise RuntimeError("a block's words did not all come back")
             starts, ends = np.cumsum(n_ids) - n_ids, np.cumsum(lens)
             at = 0
@@ -207,7 +210,7 @@ def _assemble(handed: int):
                 # As many documents as have about ``handed`` ids, one at least.
                 first = int(ends[at] - lens[at])
                 to = max(at + 1, int(np.searchsorted(ends, first + handed, side="right")))
-                some = places[first : int(ends[to - 1])].astype(np.int64)
+                some = rank[places[first : int(ends[to - 1])]].astype(np.int64)
                 each = n_ids[some]
                 stops = np.cumsum(each)
                 total = int(stops[-1]) if len(stops) else 0
@@ -235,12 +238,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     split = Splitter(read_spec(path))
-    blocks = staged(docs.select("doc_id", "text").mapInArrow(_cut(split, BLOCK), "block long, words binary, places binary, n_words long"), "bpe-blocks")
+    blocks = staged(docs.select("doc_id", "text").mapInArrow(_cut(split, BLOCK), "block long, kind int, what binary, n_words long"), "bpe-blocks", by="kind")
     sent = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // PER_BUCKET))
-    asked = blocks.select("block", "words").mapInArrow(_ask(buckets), "bucket int, block long, what binary")
-    told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(split), "block long, bucket int, what binary")
-    every = blocks.select("block", F.lit(_OWN).alias("bucket"), F.col("places").alias("what")).unionByName(told)
+    asked = blocks.filter(F.col("kind") == WORDS).select("block", "what").mapInArrow(_ask(buckets), "bucket int, block long, what binary")
+    told = staged(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(split), "block long, bucket int, what binary"), "bpe-ids")
+    release_part(blocks, "kind", WORDS)
+    every = blocks.filter(F.col("kind") == PLACES).select("block", F.lit(_OWN).alias("bucket"), "what").unionByName(told)
     return every.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(HANDED), "doc_id long, ids array<int>")
 
 

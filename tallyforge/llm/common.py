@@ -58,8 +58,8 @@ atexit.register(_clean)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder once and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a result to the shared folder once and read it back, in a folder for each value of the column ``by`` if given.
 
     This cuts the lineage as checkpoint() does, but in a columnar form of which
     later steps read only the columns they need. What was shuffled for it is
@@ -71,7 +71,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(at)
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(at)
@@ -89,6 +89,11 @@ def release(*tables: DataFrame) -> None:
             df._staged_at = None
 
 
+def release_part(df: DataFrame, by: str, value: int) -> None:
+    """Removes the rows of a staged table that have one value of the column by which it was written; no later step may read them."""
+    _delete(df.sparkSession, f"{df._staged_at}/{by}={value}")
+
+
 def staged_alone(make, name: str) -> DataFrame:
     """What ``make`` returns, staged; the tables that were staged for it alone are removed."""
     before = len(_made)

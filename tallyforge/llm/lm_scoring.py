@@ -88,8 +88,9 @@ def _cut(size: int):
         def out():
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             unique, rank = np.unique(hashes, return_inverse=True)
-            words = rank[np.concatenate(places)] if places else np.zeros(0, np.int64)
-            what = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(held, "|u1"), np.array(lens, "<i8"), unique.astype("<u8"), narrow(words))
+            # Words are numbered as they first occur: common ones get small numbers, which pack well.
+            numbers = np.concatenate(places) if places else np.zeros(0, np.int64)
+            what = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(held, "|u1"), np.array(lens, "<i8"), unique.astype("<u8"), narrow(rank), narrow(numbers), level=3)
             return record_batch([(at << 32 | n, STATE, 0, 0, what, sum(lens) + len(lens), held.count(False))], _BLOCK)
 
         total = 0
@@ -160,7 +161,7 @@ class _Block:
 
     def __init__(self, raw: bytes, facts: Facts) -> None:
         self.facts = facts
-        self.docs, self.no_id, self.held, self.lens, self.words, idx = unpack(raw)
+        self.docs, self.no_id, self.held, self.lens, self.words, rank, numbers = unpack(raw)
         self.held = self.held.astype(bool)
         ends = np.cumsum(self.lens + 1)
         self.begins = ends - self.lens - 1
@@ -170,7 +171,7 @@ class _Block:
         self.token = np.full(n, len(self.words), np.int64)
         is_word = np.ones(n, bool)
         is_word[ends - 1] = False
-        self.token[is_word] = idx
+        self.token[is_word] = rank[numbers]
         self.train = ~self.held[self.doc]
         self.grams: dict[int, _Grams] = {}
         self.p: np.ndarray | None = None
