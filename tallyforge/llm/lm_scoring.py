@@ -1,4 +1,4 @@
-"""Language-model scores by Katz backoff over n-grams of words, by default pairs; longer ones are a parameter.
+"""Language-model scores by Katz backoff over n-grams of words, by default up to three.
 
 Counts are discounted after Good and Turing up to DISCOUNTED; what the discounts
 leave goes to the words that did not follow a history, in proportion to their
@@ -10,7 +10,7 @@ distribution sum to one:
 
 Texts are cut into blocks of about BLOCK tokens, kept as ranks of words. A block
 sends the distinct n-grams of one order with their counts in it, packed by hash
-bucket. A bucket sums the counts of equal n-grams and answers each block what the
+bucket, as one row for each. A bucket sums the counts of equal n-grams and answers each block what the
 sums are; so one exchange both counts an order and tells all texts the counts that
 they need. The sums over a history, for its weight, come from a second exchange of
 the same kind, to which each block adds its part. Tables of each order's counts and
@@ -38,9 +38,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.blocks import bucket_ends, mixed, narrow, pack, partition, record_batch, runs, unpack
 from tallyforge.llm.common import staged
 
-#: Words of the longest n-grams, and how often an n-gram must be seen to be stored. Three words take more disk than
-#: the check tool allows (README).
-ORDER, LEAST = 2, 1
+#: Words of the longest n-grams, and how often an n-gram must be seen to be stored.
+ORDER, LEAST = 3, 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and of all blocks for each bucket.
@@ -228,39 +227,47 @@ class _Block:
         g = self.grams[n]
         return (g.at >= 0) & (np.r_[g.count, 0][g.at] >= self.facts.least)
 
-    def sums(self, n: int) -> tuple[np.ndarray, ...]:
-        """Of each history its key, this block's part of two sums over the n-grams stored for it, and whether it is asked.
+    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each history its rank and key, this block's part of sums over what follows it, and whether its sums are needed and asked.
 
-        The sums are of discounted counts and of the words' probabilities after the
-        shorter history. A block's part of an n-gram is its share of the count.
+        The sums are of tokens by the count of their n-gram, from which the
+        discounted counts follow (0 for those that are not stored, above DISCOUNTED
+        none), and of the probabilities after the shorter history of the words that
+        are stored. A block's part of a stored n-gram is its share of the count. Only
+        a history that an n-gram which is not stored has here needs the latter.
         """
-        g, low = self.grams[n], self.grams[n - 1]
-        rank = self.history(n)[g.first]
-        part = np.where(g.count >= self.facts.least, g.here / np.maximum(g.count, 1), 0.0)
-        size = len(low.keys) + 2
-        share = np.bincount(rank, weights=part * self.facts.discounted(n, g.count), minlength=size)
-        lower = np.bincount(rank, weights=part * self.p[g.first], minlength=size)
+        g, low, f = self.grams[n], self.grams[n - 1], self.facts
+        history = self.history(n)
+        rank, size = history[g.first], len(low.keys) + 2
+        is_stored = g.count >= f.least
+        level = np.where(is_stored, np.minimum(g.count, DISCOUNTED + 1), 0)
+        many = np.bincount(rank * (DISCOUNTED + 2) + level, weights=g.here, minlength=size * (DISCOUNTED + 2)).reshape(size, -1)
+        lower = np.bincount(rank, weights=np.where(is_stored, g.here / np.maximum(g.count, 1), 0.0) * self.p[g.first], minlength=size)
+        need = np.zeros(size, np.uint8)
+        need[history[(g.at >= 0) & ~self.stored(n)]] = 1
         used = np.flatnonzero(np.bincount(rank, minlength=size))
         keys = np.r_[low.keys, np.uint64(END), np.uint64(START)][used]
         order = np.argsort(keys, kind="stable")
         used, keys = used[order], keys[order]
-        return used, keys, share[used], lower[used], ~np.r_[low.sole, False, False][used]
+        return used, keys, [many[used, k].astype(np.int64) for k in range(DISCOUNTED + 1)], lower[used], need[used], ~np.r_[low.sole, False, False][used]
 
-    def weigh(self, n: int, answer: list[np.ndarray]) -> None:
+    def weigh(self, n: int, answer: list[np.ndarray] | None) -> None:
         """Goes from the probabilities after n-2 words to those after n-1."""
         g, low, f = self.grams[n], self.grams[n - 1], self.facts
-        used, _, share, lower, asked = self.sums(n)
-        share[asked], lower[asked] = answer
-        c = np.r_[low.count, 0, f.n_docs][used].astype(float)
-        s = share / np.maximum(c, 1)
+        used, _, many, lower, _, asked = self.sums(n)
+        if answer is not None:
+            for mine, told in zip([*many, lower], answer, strict=True):
+                mine[asked] = told
+        c_all = np.r_[low.count, 0, f.n_docs]
+        c = c_all[used].astype(float)
+        s = (c - many[0] - sum((1 - f.d[n][r]) * many[r] for r in range(1, DISCOUNTED + 1))) / np.maximum(c, 1)
         # A history that was always followed by stored n-grams keeps one count for the rest.
         kept = np.minimum(s, c / (c + 1))
-        some = s > 0
-        back, scale = np.ones(len(low.keys) + 2), np.ones(len(low.keys) + 2)
+        some = (s > 0) & (c > many[0])
+        back, scale = np.ones(len(c_all)), np.ones(len(c_all))
         back[used] = np.where(some, (1 - kept) / np.maximum(1 - lower, 1e-12), 1.0)
-        scale[used] = np.where(some, kept / np.maximum(s, 1e-300), 1.0)
+        scale[used] = np.where(some, kept / np.where(some, s, 1.0), 1.0)
         h, has, hit = self.history(n), g.at >= 0, self.stored(n)
-        c_all = np.r_[low.count, 0, f.n_docs]
         p = self.p.copy()
         p[has] *= back[h[has]]
         p[hit] = scale[h[hit]] * f.discounted(n, g.count)[g.at[hit]] / c_all[h[hit]]
@@ -283,7 +290,7 @@ def _told_block(rows: list[tuple], facts: Facts, step: int) -> _Block:
         b.find(n)
         b.told(n, *got.get((n, COUNTS), [np.zeros(0, np.uint64)]))
     for n in range(2, step - 1):
-        b.weigh(n, got.get((n + 1, SUMS), [np.zeros(0)] * 2))
+        b.weigh(n, got.get((n + 1, SUMS)))
     return b
 
 
@@ -306,8 +313,8 @@ def _ask(facts: Facts, step: int):
                 alone = g.here[~g.asked]
                 out.append((block % facts.buckets, TOLD, block, None, _stats(alone)))
             if step > 2:
-                _, keys, share, lower, asked = b.sums(step - 1)
-                deal(SUMS, keys[asked], share[asked], lower[asked])
+                _, keys, many, lower, need, asked = b.sums(step - 1)
+                deal(SUMS, keys[asked], *(narrow(x[asked]) for x in many), lower[asked], need[asked])
             if out:
                 yield record_batch(out, _ASKED)
 
@@ -331,16 +338,20 @@ def _answer(step: int):
             got = [unpack(r[3]) for r in rows]
             ends = np.cumsum([len(x[0]) for x in got])
             keys, rank, asking = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True, return_counts=True)
-            sums = [np.bincount(rank, weights=np.concatenate([x[k] for x in got]), minlength=len(keys)) for k in range(1, len(got[0]))]
+            summed = lambda k: np.bincount(rank, weights=np.concatenate([x[k] for x in got]), minlength=len(keys))  # noqa: E731, B023
             stats = None
             if kind == COUNTS:
-                total = sums[0].astype(np.int64)
+                total = summed(1).astype(np.int64)
                 values, stats = [(total << 1 | (asking == 1)).astype("<u8")], _stats(total)
             else:
-                values = sums
+                values = [summed(k).astype("<u8") for k in range(1, DISCOUNTED + 2)]
+                lower = summed(DISCOUNTED + 2)
             out = []
             for k, (i, j) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
-                out.append((rows[k][2], step, kind, bucket, pack(*(v[rank[i:j]] for v in values)), stats if k == 0 else None))
+                own = [v[rank[i:j]] for v in values]
+                if kind == SUMS:
+                    own.append(np.where(got[k][-1] > 0, lower[rank[i:j]], 0.0))
+                out.append((rows[k][2], step, kind, bucket, pack(*own), stats if k == 0 else None))
                 if len(out) == 64:
                     yield record_batch(out, _ANSWER)
                     out = []
