@@ -1,4 +1,4 @@
-"""Language-model scores by Katz backoff over n-grams of words, by default up to three.
+"""Language-model scores by Katz backoff over n-grams of words, by default pairs; longer ones are a parameter.
 
 Counts are discounted after Good and Turing up to DISCOUNTED; what the discounts
 leave goes to the words that did not follow a history, in proportion to their
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.blocks import bucket_ends, mixed, narrow, pack, partition, record_batch, runs, unpack
 from tallyforge.llm.common import staged
 
-#: Words of the longest n-grams, and how often an n-gram must be seen to be stored.
-ORDER, LEAST = 3, 1
+#: Words of the longest n-grams, and how often an n-gram must be seen to be stored. Three words take more disk than
+#: the check tool allows (README).
+ORDER, LEAST = 2, 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and of all blocks for each bucket.
@@ -86,10 +87,9 @@ def _cut(size: int):
 
         def out():
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            unique, rank = np.unique(hashes, return_inverse=True)
             # Words are numbered as they first occur: common ones get small numbers, which pack well.
             numbers = np.concatenate(places) if places else np.zeros(0, np.int64)
-            what = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(held, "|u1"), np.array(lens, "<i8"), unique.astype("<u8"), narrow(rank), narrow(numbers), level=3)
+            what = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(held, "|u1"), np.array(lens, "<i8"), hashes, narrow(numbers), level=3)
             return record_batch([(at << 32 | n, STATE, 0, 0, what, sum(lens) + len(lens), held.count(False))], _BLOCK)
 
         total = 0
@@ -160,7 +160,8 @@ class _Block:
 
     def __init__(self, raw: bytes, facts: Facts) -> None:
         self.facts = facts
-        self.docs, self.no_id, self.held, self.lens, self.words, rank, numbers = unpack(raw)
+        self.docs, self.no_id, self.held, self.lens, hashes, numbers = unpack(raw)
+        self.words, rank = np.unique(hashes, return_inverse=True)
         self.held = self.held.astype(bool)
         ends = np.cumsum(self.lens + 1)
         self.begins = ends - self.lens - 1
@@ -305,7 +306,8 @@ def _ask(facts: Facts, step: int):
                 ends = bucket_ends(keys, facts.buckets)  # noqa: B023
                 for k, (i, j) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
                     if j > i:
-                        out.append((k, kind, block, pack(keys[i:j], *(v[i:j] for v in values)), None))  # noqa: B023
+                        # Sorted keys go as their differences, whose upper bytes are alike.
+                        out.append((k, kind, block, pack(np.diff(keys[i:j], prepend=np.uint64(0)), *(v[i:j] for v in values)), None))  # noqa: B023
 
             if step <= facts.order:
                 g = b.find(step)
@@ -337,7 +339,7 @@ def _answer(step: int):
                 continue
             got = [unpack(r[3]) for r in rows]
             ends = np.cumsum([len(x[0]) for x in got])
-            keys, rank, asking = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True, return_counts=True)
+            keys, rank, asking = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), return_inverse=True, return_counts=True)
             summed = lambda k: np.bincount(rank, weights=np.concatenate([x[k] for x in got]), minlength=len(keys))  # noqa: E731, B023
             stats = None
             if kind == COUNTS:
