@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ SPACE = r"\x20\x09-\x0D"
 KELVIN = "K"
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +47,11 @@ def _delete(spark: SparkSession, at: str) -> None:
 
 
 def _clean() -> None:
+    for spark, name in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may be gone already
+            break
     for spark, at in _made:
         try:
             _delete(spark, at)
@@ -68,15 +75,33 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, at))
+    with _cleaned(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_at = at
+    return out
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(at)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._staged_at = at
-    return out
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``staged``, as a table in buckets by ``key``: joins by it with tables dealt to as many partitions do not shuffle this one."""
+    spark = df.sparkSession
+    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{unique}"
+    _made.append((spark, at))
+    with _cleaned(spark):
+        df.write.format("parquet").bucketBy(buckets, key).option("path", at).saveAsTable(unique)
+    _tables.append((spark, unique))
+    return spark.table(unique)
 
 
 def release(*tables: DataFrame) -> None:

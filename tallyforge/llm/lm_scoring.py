@@ -1,4 +1,4 @@
-"""Language-model scores by Katz backoff over n-grams of words, by default pairs; longer ones are a parameter.
+"""Language-model scores by Katz backoff over n-grams of words, by default up to three.
 
 Counts are discounted after Good and Turing up to DISCOUNTED; what the discounts
 leave goes to the words that did not follow a history, in proportion to their
@@ -13,9 +13,9 @@ sends the distinct n-grams of one order with their counts in it, packed by hash
 bucket, as one row for each. A bucket sums the counts of equal n-grams and answers each block what the
 sums are; so one exchange both counts an order and tells all texts the counts that
 they need. The sums over a history, for its weight, come from a second exchange of
-the same kind, to which each block adds its part. Tables of each order's counts and
-sums are written to the shared folder, dealt by block; every token then is scored
-by the recursion above where its text is.
+the same kind, to which each block adds its part. The blocks are a table bucketed by
+block and do not travel; what they are told is a table for each step, written to the
+shared folder. Every token then is scored by the recursion above where its text is.
 
 An n-gram can only be in one block if the shorter one at its start or end is. So
 those are counted where they are, and most long n-grams never travel.
@@ -36,11 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.blocks import bucket_ends, mixed, narrow, pack, partition, record_batch, runs, unpack
-from tallyforge.llm.common import staged
+from tallyforge.llm.common import bucketed, staged
 
-#: Words of the longest n-grams, and how often an n-gram must be seen to be stored. Three words take more disk than
-#: the check tool allows (README).
-ORDER, LEAST = 2, 1
+#: Words of the longest n-grams, and how often an n-gram must be seen to be stored.
+ORDER, LEAST = 3, 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and of all blocks for each bucket.
@@ -68,9 +67,9 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-#: A block's own row has step 0; what it is told later comes under the step and kind of what it asked.
-STATE, COUNTS, SUMS, TOLD = 0, 0, 1, 2
-_BLOCK = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("what", pa.binary()), ("n_tokens", pa.int64()), ("n_train", pa.int64())])
+#: What a block asks for: the counts of an order, sums over histories; or what it tells of those that it has alone.
+COUNTS, SUMS, TOLD = 0, 1, 2
+_BLOCK = pa.schema([("block", pa.int64()), ("what", pa.binary()), ("n_tokens", pa.int64()), ("n_train", pa.int64())])
 _ASKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("what", pa.binary()), ("stats", pa.list_(pa.int64()))])
 _ANSWER = pa.schema([("block", pa.int64()), ("step", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("what", pa.binary()), ("stats", pa.list_(pa.int64()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -90,7 +89,7 @@ def _cut(size: int):
             # Words are numbered as they first occur: common ones get small numbers, which pack well.
             numbers = np.concatenate(places) if places else np.zeros(0, np.int64)
             what = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(held, "|u1"), np.array(lens, "<i8"), hashes, narrow(numbers), level=3)
-            return record_batch([(at << 32 | n, STATE, 0, 0, what, sum(lens) + len(lens), held.count(False))], _BLOCK)
+            return record_batch([(at << 32 | n, what, sum(lens) + len(lens), held.count(False))], _BLOCK)
 
         total = 0
         for batch in batches:
@@ -275,18 +274,24 @@ class _Block:
         self.p = p
 
 
-def _join(rows: list[tuple]) -> dict[tuple[int, int], list[np.ndarray]]:
-    """The answers of each step and kind; a block's buckets are in order and so are its keys."""
+def _join(told: list[dict]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """The answers of each step and kind; in the order of the buckets they are in the order of the block's keys."""
     out: dict[tuple[int, int], list] = {}
-    for _, step, kind, _, what, *_ in rows:
-        out.setdefault((step, kind), []).append(unpack(what))
+    for x in sorted(told, key=lambda x: x["bucket"]):
+        out.setdefault((x["step"], x["kind"]), []).append(unpack(x["what"]))
     return {k: [np.concatenate(x) for x in zip(*v, strict=True)] for k, v in out.items()}
 
 
-def _told_block(rows: list[tuple], facts: Facts, step: int) -> _Block:
-    """A block with all that it was told before ``step``."""
-    got = _join(rows[1:])
-    b = _Block(rows[0][4], facts)
+def _blocks(batches: Iterator[pa.RecordBatch], facts: Facts, step: int) -> Iterator[tuple[int, _Block]]:
+    """From rows (block, what, told): each block with all that it was told before ``step``, one at a time."""
+    for batch in batches:
+        for block, what, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            yield block, _told_block(what.as_py(), told.as_py() or [], facts, step)
+
+
+def _told_block(what: bytes, told: list[dict], facts: Facts, step: int) -> _Block:
+    got = _join(told)
+    b = _Block(what, facts)
     for n in range(1, min(step, facts.order + 1)):
         b.find(n)
         b.told(n, *got.get((n, COUNTS), [np.zeros(0, np.uint64)]))
@@ -299,8 +304,8 @@ def _ask(facts: Facts, step: int):
     """From blocks with what they were told: what they ask in this step, counts of one order and sums of the order below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, 1):
-            b, block, out = _told_block(rows, facts, step), rows[0][0], []
+        for block, b in _blocks(batches, facts, step):
+            out = []
 
             def deal(kind, keys, *values):
                 ends = bucket_ends(keys, facts.buckets)  # noqa: B023
@@ -367,8 +372,7 @@ def _score(facts: Facts):
     """From blocks with all that they were told: a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, 1):
-            b = _told_block(rows, facts, facts.order + 2)
+        for _, b in _blocks(batches, facts, facts.order + 2):
             c = np.r_[b.grams[1].count, facts.n_docs][b.token]
             by_doc = lambda x: np.add.reduceat(x, b.begins)  # noqa: E731, B023
             base = np.log10((c + 1) / (facts.total + facts.kinds + 1))
@@ -404,19 +408,26 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
         raise ValueError("a backoff needs n-grams of two words at least")
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.col("text").cast("binary").alias("raw"))
-    state = staged(rows.mapInArrow(_cut(BLOCK), _ddl(_BLOCK)), "lm-blocks")
-    sizes = state.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("docs")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # In buckets by block, so that no step shuffles the texts again, only what blocks are told.
+    state = bucketed(rows.mapInArrow(_cut(BLOCK), _ddl(_BLOCK)), "lm-blocks", "block", parts)
+    sizes = state.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("docs")).first()
     facts = Facts(sizes.docs or 0, order, least, max(BUCKETS, parts, -(-(sizes.tokens or 0) // PER_BUCKET)))
-    names = _ANSWER.names[:5]
-    told = state.select(names)
+    state, told = state.select("block", "what"), None
+
+    def informed() -> DataFrame:
+        answer = F.struct("step", "kind", "bucket", "what")
+        if told is None:
+            return state.withColumn("told", F.lit(None).cast("array<struct<step: int, kind: int, bucket: int, what: binary>>"))
+        return state.join(told.groupBy("block").agg(F.collect_list(answer).alias("told")).hint("merge"), "block", "left")
+
     for step in range(1, order + 2):
-        asked = told if step == 1 else told.repartition("block").sortWithinPartitions("block", "step", "kind", "bucket")
-        asked = asked.mapInArrow(_ask(facts, step), _ddl(_ASKED)).repartition("bucket").sortWithinPartitions("bucket", "kind")
+        asked = informed().mapInArrow(_ask(facts, step), _ddl(_ASKED)).repartition("bucket").sortWithinPartitions("bucket", "kind")
         answers = staged(asked.mapInArrow(_answer(step), _ddl(_ANSWER)), f"lm-told-{step}")
         if step <= order:
             got = answers.filter("stats is not null").agg(*[F.sum(F.col("stats")[k]) for k in range(DISCOUNTED + 3)]).first()
             facts.learn(step, [x or 0 for x in got])
-        told = told.unionByName(answers.filter("block is not null").select(names))
-    out = told.repartition("block").sortWithinPartitions("block", "step", "kind", "bucket").mapInArrow(_score(facts), _ddl(_SCORED))
+        answers = answers.filter("block is not null").select("block", "step", "kind", "bucket", "what")
+        told = answers if told is None else told.unionByName(answers)
+    out = informed().mapInArrow(_score(facts), _ddl(_SCORED))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts.total).cast("long").alias("train_tokens"), "base_score", "score")
