@@ -11,6 +11,7 @@ are not shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.blocks import bucket_ends, narrow, pack, partition, record_batch, runs, unpack
-from tallyforge.llm.common import release_part, staged
+from tallyforge.llm.common import bucketed, staged
 
 #: Characters of a block of documents.
 BLOCK = 4 << 20
@@ -98,35 +99,24 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-#: A block's distinct words, and its documents with the places of its words.
-WORDS, PLACES = 0, 1
-_STATE = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("what", pa.binary()), ("n_words", pa.int64())])
+_STATE = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("n_words", pa.int64())])
 _ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("what", pa.binary())])
-#: A block's own row comes before its buckets'.
 _TOLD = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("what", pa.binary())])
-_OWN = -1
+#: Words that the tokenizer gets at once; what it returns for each takes a kilobyte or two.
+AT_ONCE = 4096
 
 
 def _cut(split: Splitter, size: int):
-    """Rows (doc_id, text) to blocks: the distinct words in the order of their hashes, and the documents' words as numbers.
-
-    Words are numbered as they first occur, which gives common words small numbers
-    that pack well; with them goes the rank of each number's word.
-    """
+    """Rows (doc_id, text) to blocks: the distinct words in the order in which they first occur, and the documents' words as numbers in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         at, n, held = partition(), 0, 0
         docs, lens, places, known = [], [], [], {}
 
         def out():
-            ws = [w.encode() for w in known]
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
-            order = np.argsort(hashes, kind="stable")
-            words = pack(hashes[order], *_text_arrays([ws[k] for k in order]))
-            own = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(lens, "<i8"), narrow(np.argsort(order)), narrow(np.concatenate(places)), level=3)
-            return record_batch([(at << 32 | n, WORDS, words, len(ws)), (at << 32 | n, PLACES, own, 0)], _STATE)
+            words = pack(*_text_arrays([w.encode() for w in known]), level=3)
+            own = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "|u1"), np.array(lens, "<i8"), narrow(np.concatenate(places)), level=3)
+            return record_batch([(at << 32 | n, words, own, len(known))], _STATE)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -134,7 +124,8 @@ def _cut(split: Splitter, size: int):
                 ws = split(text)
                 docs.append(doc)
                 lens.append(len(ws))
-                places.append(np.fromiter([known.setdefault(w, len(known)) for w in ws], np.int64, len(ws)))
+                numbers = np.fromiter([known.setdefault(w, len(known)) for w in ws], np.int64, len(ws))
+                places.append(narrow(numbers))
                 held += len(text) + 1
                 if held >= size:
                     yield out()
@@ -155,15 +146,26 @@ def _texts(lens: np.ndarray, flat: np.ndarray) -> list[str]:
     return [data[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _by_hash(lens: np.ndarray, flat: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A block's words, the order of their hashes, and the hashes in that order."""
+    import xxhash
+
+    data, ends = flat.tobytes(), np.cumsum(lens, dtype=np.int64).tolist()
+    ws = [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+    order = np.argsort(hashes, kind="stable")
+    return ws, order, hashes[order]
+
+
 def _ask(buckets: int):
     """From blocks' distinct words: the words, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, lens, flat = unpack(raw.as_py())
-                ends, at = bucket_ends(hashes, buckets).tolist(), np.r_[0, np.cumsum(lens, dtype=np.int64)].tolist()
-                out = [(k, block, pack(lens[i:j], flat[at[i] : at[j]])) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if j > i]
+                ws, order, hashes = _by_hash(*unpack(raw.as_py()))
+                ends = bucket_ends(hashes, buckets).tolist()
+                out = [(k, block, pack(*_text_arrays([ws[x] for x in order[i:j]]))) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if j > i]
                 if out:
                     yield record_batch(out, _ASKED)
 
@@ -181,9 +183,11 @@ def _encode_buckets(split: Splitter):
             for bucket, block, raw in rows:
                 ws = _texts(*unpack(raw))
                 new = [w for w in dict.fromkeys(ws) if w not in known]
-                known.update(zip(new, (np.array(e.ids, "<u4") for e in t.encode_batch(new, add_special_tokens=False)), strict=True))
+                for at in range(0, len(new), AT_ONCE):
+                    some = new[at : at + AT_ONCE]
+                    known.update(zip(some, (np.array(e.ids, "<u4") for e in t.encode_batch(some, add_special_tokens=False)), strict=True))
                 ids = [known[w] for w in ws]
-                out.append((block, bucket, pack(np.array([len(x) for x in ids], "<u4"), narrow(np.concatenate(ids)))))
+                out.append((block, bucket, pack(narrow(np.array([len(x) for x in ids], "<u4")), narrow(np.concatenate(ids)))))
                 if len(out) == 64:
                     yield record_batch(out, _TOLD)
                     out = []
@@ -193,37 +197,59 @@ def _encode_buckets(split: Splitter):
     return run
 
 
-def _assemble(handed: int):
-    """From a block's own row and its words' ids by bucket, which together are in the order of its words: the ids of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, 1):
-            docs, no_id, lens, rank, places = unpack(rows[0][2])
-            got = [unpack(r[2]) for r in rows[1:]]
+def _assembled(batches: Iterator[pa.RecordBatch], handed: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """From rows (block, words, places, told), told being the words' ids by bucket: doc_ids and the ids of their texts."""
+    for batch in batches:
+        for words, own, told in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+            _, order, _ = _by_hash(*unpack(words.as_py()))
+            docs, no_id, lens, places = unpack(own.as_py())
+            # In the order of the buckets the answers are in the order of the words' hashes.
+            got = [unpack(x["what"]) for x in sorted(told.as_py() or [], key=lambda x: x["bucket"])]
             n_ids = np.concatenate([x[0] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
             flat = np.concatenate([x[1].astype(np.int32) for x in got]) if got else np.zeros(0, np.int32)
-            if len(rank) != len(n_ids):
+            if len(order) != len(n_ids):
                 raise RuntimeError("a block's words did not all come back")
+            rank = np.argsort(order)
             starts, ends = np.cumsum(n_ids) - n_ids, np.cumsum(lens)
             at = 0
             while at < len(docs):
                 # As many documents as have about ``handed`` ids, one at least.
                 first = int(ends[at] - lens[at])
                 to = max(at + 1, int(np.searchsorted(ends, first + handed, side="right")))
-                some = rank[places[first : int(ends[to - 1])]].astype(np.int64)
+                some = rank[places[first : int(ends[to - 1])]]
                 each = n_ids[some]
                 stops = np.cumsum(each)
                 total = int(stops[-1]) if len(stops) else 0
                 ids = flat[np.repeat(starts[some] - (stops - each), each) + np.arange(total)]
                 # A text ends where its last word's ids do.
                 bounds = np.r_[0, np.r_[0, stops][ends[at:to] - first]]
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([pa.array(docs[at:to], mask=no_id[at:to].astype(bool)), lists], names=["doc_id", "ids"])
+                yield pa.array(docs[at:to], mask=no_id[at:to].astype(bool)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 at = to
 
+
+def _assemble(handed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, lists in _assembled(batches, handed):
+            yield pa.record_batch([docs, lists], names=["doc_id", "ids"])
+
     return run
 
 
+def _with_ids(docs: DataFrame, path: str) -> DataFrame:
+    """Rows (block, words, places, told): texts in blocks with the ids of their words."""
+    spark = docs.sparkSession
+    split = Splitter(read_spec(path))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # In buckets by block, so that only the words' ids travel to them.
+    blocks = bucketed(docs.select("doc_id", "text").mapInArrow(_cut(split, BLOCK), "block long, words binary, places binary, n_words long"), "bpe-blocks", "block", parts)
+    sent = blocks.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(BUCKETS, parts, -(-sent // PER_BUCKET))
+    asked = blocks.select("block", "words").mapInArrow(_ask(buckets), "bucket int, block long, what binary")
+    told = staged(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(split), "block long, bucket int, what binary"), "bpe-ids")
+    answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "what")).alias("told"))
+    return blocks.select("block", "words", "places").join(answers.hint("merge"), "block", "left")
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id and ids, as the tokenizer in the file ``path`` encodes the text.
 
@@ -236,16 +262,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     gets about PER_BUCKET words, for which the number of buckets grows with the
     words that blocks send.
     """
-    spark = docs.sparkSession
-    split = Splitter(read_spec(path))
-    blocks = staged(docs.select("doc_id", "text").mapInArrow(_cut(split, BLOCK), "block long, kind int, what binary, n_words long"), "bpe-blocks", by="kind")
-    sent = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // PER_BUCKET))
-    asked = blocks.filter(F.col("kind") == WORDS).select("block", "what").mapInArrow(_ask(buckets), "bucket int, block long, what binary")
-    told = staged(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(split), "block long, bucket int, what binary"), "bpe-ids")
-    release_part(blocks, "kind", WORDS)
-    every = blocks.filter(F.col("kind") == PLACES).select("block", F.lit(_OWN).alias("bucket"), "what").unionByName(told)
-    return every.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_assemble(HANDED), "doc_id long, ids array<int>")
+    return _with_ids(docs, path).mapInArrow(_assemble(HANDED), "doc_id long, ids array<int>")
 
 
 def piece_table(spec: str) -> pa.Array:
@@ -259,6 +276,17 @@ def piece_table(spec: str) -> pa.Array:
     return pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.binary())
 
 
+def _joined(pieces: pa.Array, ids: pa.Array) -> bytes:
+    """The pieces of ids, one after the other."""
+    if ids is None or not len(ids):
+        return b""
+    got = pieces.take(ids)
+    if got.null_count:
+        raise ValueError("an id that the vocabulary doesn't have")
+    ends = np.frombuffer(got.buffers()[1], dtype=np.int32)[got.offset : got.offset + len(got) + 1]
+    return got.buffers()[2].to_pybytes()[: ends[-1]] if got.buffers()[2] else b""
+
+
 def _decode(shared, other: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
@@ -266,19 +294,27 @@ def _decode(shared, other: int):
             lists = batch.column(other)
             rest = [c for k, c in enumerate(batch.columns) if k != other]
             names = [n for k, n in enumerate(batch.schema.names) if k != other]
-            texts = []
-            for x in lists:
-                got = pieces.take(x.values) if x.values is not None and len(x.values) else pa.array([], pa.binary())
-                if got.null_count:
-                    raise ValueError("an id that the vocabulary doesn't have")
-                ends = np.frombuffer(got.buffers()[1], dtype=np.int32)[got.offset : got.offset + len(got) + 1] if len(got) else [0]
-                raw = got.buffers()[2].to_pybytes()[: ends[-1]] if len(got) and got.buffers()[2] else b""
-                texts.append(raw.decode("utf-8", "replace"))
+            texts = [_joined(pieces, x.values).decode("utf-8", "replace") for x in lists]
             yield pa.record_batch([*rest, lists, pa.array(texts, pa.string())], names=[*names, "ids", "decoded"])
 
     return run
 
 
+def _digest(shared, handed: int):
+    """From blocks with their words' ids: digests of each text's ids and of what they decode to, without handing either on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value
+        numbers = pa.array([f"{i}," for i in range(len(pieces))], pa.binary())
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for docs, lists in _assembled(batches, handed):
+            ids = [x.values for x in lists]
+            cols = [[len(x) for x in ids], [sha(_joined(numbers, x)[:-1]) for x in ids], [sha(_joined(pieces, x).decode("utf-8", "replace").encode()) for x in ids]]
+            yield pa.record_batch([docs, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encoded`` with ``decoded``, the text of the column ``ids``.
 
@@ -297,9 +333,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
-    back = decode(encode(docs, path), path)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    shared = docs.sparkSession.sparkContext.broadcast(piece_table(read_spec(path)))
+    return _with_ids(docs, path).mapInArrow(_digest(shared, HANDED), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path(spark: SparkSession | None = None) -> str:

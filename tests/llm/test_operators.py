@@ -223,6 +223,17 @@ def test_bpe(docs, monkeypatch, block, handed):
         assert tuple(r)[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()), r
 
 
+def test_bpe_round_trip_through_ids(docs):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    t = Tokenizer.from_file(path)
+    got = bpe.decode(bpe.encode(docs, path).withColumn("more", F.lit(1)), path).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert list(r.ids) == t.encode(TEXT[r.doc_id] or "", add_special_tokens=False).ids and r.decoded == (TEXT[r.doc_id] or "")
+
+
 def test_bpe_splits_as_the_tokenizer_does():
     split = bpe.Splitter(bpe.read_spec(bpe.default_path()))
     own = split.tokenizer().pre_tokenizer.pre_tokenize_str
