@@ -22,9 +22,9 @@ def copies(n, seed=5, words=60):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 150])
+@pytest.mark.parametrize("block", [2048, 100])
 def test_a_hot_group_writes_rows_in_proportion(spark, monkeypatch, block):
-    rows = copies(2000 if block == 2048 else 700)
+    rows = copies(2000 if block == 2048 else 300)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     written = {}
 
